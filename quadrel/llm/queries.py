@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, line_dedup, packing, sentencepiece_lattice, topk, toxicity, url_filter
+from . import jaccard_join, language_id, license_scan, line_dedup, packing, progressive_jpeg, sentencepiece_lattice, topk, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,10 +22,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: every embedding is made a progressive JPEG file first, then that column is decoded."""
+    return progressive_jpeg.decode_column(progressive_jpeg.media_of_vectors(_read(spark, sf_dir, "embeddings")))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(_read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
@@ -52,7 +61,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
+    "op3_progressive_jpeg": op3_progressive_jpeg,
     "op4_license_scan": op4_license_scan,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_toxicity": op6_toxicity,
     "op7_topk_search": op7_topk_search,
     "op8_url_filter": op8_url_filter,
