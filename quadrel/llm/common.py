@@ -39,8 +39,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage with a Parquet table in the shared folder, so that a lost executor never recomputes what led to it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    write(df, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def write(df: DataFrame, path: str, *by: str) -> None:
+    """Writes a table; its shuffle files go as soon as it is written, since nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        drop_path(t.sparkSession, t._scratch)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 SKETCH_BITS = 18
 _ALNUM = None
@@ -301,12 +301,14 @@ def components(edges: DataFrame) -> DataFrame:
     label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("i"), F.least("a", "m").alias("c")), "labels")
     while True:
         near = both.join(label.select(F.col("i").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        hooked = label.join(near.select(F.col("a").alias("i"), "m"), "i").select("i", F.col("c").alias("was"), F.least("c", "m").alias("c"))
+        hooked = label.select("i", "c").join(near.select(F.col("a").alias("i"), "m"), "i").select("i", F.col("c").alias("was"), F.least("c", "m").alias("c"))
         up = label.select(F.col("i").alias("c"), F.col("c").alias("cc"))
         new = written(hooked.join(up, "c", "left").select("i", "was", F.least("c", F.coalesce("cc", "c")).alias("c")), "labels")
+        dropped(label)
         if new.where("c != was").isEmpty():
+            dropped(both)
             return new.select("i", "c")
-        label = new.select("i", "c")
+        label = new
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.6, tile_docs: int = 4000) -> tuple[DataFrame, DataFrame]:
@@ -351,6 +353,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     rest = written(mixed.mapInArrow(cross, "a long, b long").distinct().join(best, ["a", "b"], "left_anti"), "rest")
     more = written(verify(rest, rows, n, threshold), "links")
+    dropped(found, best, rest)
     links = links.unionByName(more)
     final = components(links) if not more.isEmpty() else comp
     return links, final.select(F.col("i").alias("doc_id"), F.col("c").alias("group_id"))

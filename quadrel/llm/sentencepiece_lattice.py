@@ -30,7 +30,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import dropped, scratch_path, write, written
 
 SPACE = "▁"
 MASK_CHARS = 60
@@ -316,7 +316,8 @@ def dictionary(spark: SparkSession, rows: DataFrame, model: Model) -> str:
 
     out = scratch_path(spark, "dictionary")
     packed = paths.groupBy("bucket").cogroup(routed.select(F.col("bucket").alias("of"), "block", "units").groupBy("of")).applyInArrow(pack, "block long, units array<string>, codes array<binary>")
-    packed.repartition("block").write.partitionBy("block").parquet(out)
+    write(packed.repartition("block"), out, "block")
+    dropped(lists)
     return out
 
 
