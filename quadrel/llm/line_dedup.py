@@ -153,7 +153,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     i, h, g = free_name(docs, "_i"), free_name(docs, "_h"), free_name(docs, "_gone")
     side = gone.select(F.col("i").alias(i), F.col("h").alias(h), F.col("gone").alias(g))
     text = F.col(text_col).cast("string")
-    j = docs.join(side, (docs[id_col].cast("long") == F.col(i)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(h)), "left")
+    # the same join at every size: a broadcast side would grow with the table
+    j = docs.join(side.hint("merge"), (docs[id_col].cast("long") == F.col(i)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(h)), "left")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, k: ~F.array_contains(g, k)), "\n")
     cols = [F.when(F.col(g).isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if count_col:
