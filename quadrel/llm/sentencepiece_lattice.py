@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import dropped, scratch_path, write, written
 
@@ -52,6 +53,8 @@ class Model:
     def __post_init__(self) -> None:
         self.usable = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (1, 4)}
         self.bytes_at = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == 6}
+        # between units in lists: a character that no piece has, so that it is a unit of its own
+        self.sep = next(c for c in "\n\0\1\2" if not any(c in p for p in self.usable))
         self.longest = max(map(len, self.usable), default=1)
         self.kind = np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32
         # an id for each character of a piece, and which pairs of them are neighbours in some piece
@@ -159,6 +162,8 @@ def load(path: str = DEFAULT_MODEL) -> Model:
     n = m.normalizer_spec
     if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces:
         raise ValueError("only models without normalisation are supported")
+    if len(m.pieces) >= 1 << 20:
+        raise ValueError("ids take 20 bits at most")
     if m.trainer_spec.model_type not in (1, 2):
         raise ValueError("only unigram and BPE models are supported")
     return Model([p.piece for p in m.pieces], [p.score for p in m.pieces], [p.type for p in m.pieces], m.trainer_spec.model_type == 2, n.add_dummy_prefix, next((i for i, p in enumerate(m.pieces) if p.type == 2), 0))
@@ -187,6 +192,11 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int, shortest: int) ->
     return e.join(F.broadcast(pieces), "piece")
 
 
+def _packed(path):
+    """Start, length and id of each edge in one number, in order of start."""
+    return F.array_sort(F.transform(path, lambda x: _shl(x["s"].cast("long"), F.lit(26)) + _shl(x["w"].cast("long"), F.lit(20)) + x["id"]))
+
+
 def _shl(value, by):
     return F.call_function("shiftleft", value, by)
 
@@ -206,7 +216,7 @@ def fold_merges(edges: DataFrame) -> DataFrame:
     mask = F.aggregate(F.sequence(F.lit(1), n - 1), _shl(one, n + 1) - 1, step)
     m = g.withColumn("mask", mask)
     path = F.filter("e", lambda x: (F.col("mask").bitwiseAND(x["ends"]) == x["ends"]) & (F.col("mask").bitwiseAND(x["inside"]) == 0))
-    return m.select("bucket", "unit", F.transform(path, lambda x: F.struct(x["s"].alias("s"), x["w"].alias("w"), x["id"].alias("id"))).alias("path"))
+    return m.select("bucket", "unit", _packed(path).alias("path"))
 
 
 def fold_viterbi(edges: DataFrame, unknown: float) -> DataFrame:
@@ -231,7 +241,7 @@ def fold_viterbi(edges: DataFrame, unknown: float) -> DataFrame:
             F.struct(F.get("c", a["at"])["s"].alias("at"), F.array_prepend(a["path"], F.struct(F.get("c", a["at"])["s"].alias("s"), (a["at"] - F.get("c", a["at"])["s"]).alias("w"), F.get("c", a["at"])["id"].alias("id"))).alias("path"))
         ),
     )
-    return cells.select("bucket", "unit", F.filter(back["path"], lambda x: x["id"] >= 0).alias("path"))
+    return cells.select("bucket", "unit", _packed(F.filter(back["path"], lambda x: x["id"] >= 0)).alias("path"))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -249,7 +259,7 @@ def _block(file: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _unit_lists(rows: DataFrame, model: Model, buckets: int) -> DataFrame:
-    """(bucket, block, units): the distinct units of more than one character of each block that a task reads."""
+    """(bucket, block, units): the distinct units of more than one character of each block that a task reads, in one text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
@@ -260,7 +270,7 @@ def _unit_lists(rows: DataFrame, model: Model, buckets: int) -> DataFrame:
             for u in seen:
                 by.setdefault(zlib.crc32(u.encode("utf-8", "surrogatepass")) % buckets, []).append(u)
             for k, us in by.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int64()), pa.array([sorted(us)], pa.list_(pa.string()))], ["bucket", "block", "units"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int64()), pa.array([model.sep.join(sorted(us))], pa.string())], ["bucket", "block", "units"])
 
         for b in batches:
             block = _block(b.column(2).to_numpy(), b.column(3).to_numpy())
@@ -276,15 +286,16 @@ def _unit_lists(rows: DataFrame, model: Model, buckets: int) -> DataFrame:
         if now is not None:
             yield from flush()
 
-    return rows.mapInArrow(run, "bucket int, block long, units array<string>")
+    return rows.mapInArrow(run, "bucket int, block long, units string")
 
 
 def dictionary(spark: SparkSession, rows: DataFrame, model: Model) -> str:
-    """Writes (block, units, codes), partitioned by block, to the shared folder; codes hold packed ids."""
+    """Writes (block, units, sizes, codes), partitioned by block, to the shared folder: the units in one text, how many ids each has, and
+    all ids packed."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = written(_unit_lists(rows, model, 4 * parts), "units")
     routed = lists.repartition(parts, "bucket")
-    units = routed.select("bucket", F.explode("units").alias("unit")).groupBy("bucket", "unit").agg(F.count(F.lit(1)).alias("n")).select("bucket", "unit").where(F.length("unit") <= MASK_CHARS)
+    units = routed.select("bucket", F.explode(F.split("units", "\\Q" + model.sep + "\\E")).alias("unit")).groupBy("bucket", "unit").agg(F.count(F.lit(1)).alias("n")).select("bucket", "unit").where(F.length("unit") <= MASK_CHARS)
     edges = lattice(units, piece_table(spark, model), model.longest, 2 if model.bpe else 1)
     unknown = min((model.scores[i] for i in model.usable.values()), default=0.0) - 10
     paths = fold_merges(edges) if model.bpe else fold_viterbi(edges, unknown)
@@ -298,24 +309,31 @@ def dictionary(spark: SparkSession, rows: DataFrame, model: Model) -> str:
             if len(u) > MASK_CHARS:
                 return model.merge(u) if model.bpe else model.viterbi(u)
             out, at = [], 0
-            for x in sorted(path.get(u) or (), key=lambda x: x["s"]):
-                out += [model.char(c) for c in u[at : x["s"]]]
-                out.append(one[x["id"]] if one else np.array([x["id"]], model.kind).tobytes())
-                at = x["s"] + x["w"]
+            for x in path.get(u) or ():
+                b = x >> 26 & 63
+                if b > at:
+                    out += [model.char(c) for c in u[at:b]]
+                out.append(one[x & 0xFFFFF] if one else np.array([x & 0xFFFFF], model.kind).tobytes())
+                at = b + (x >> 20 & 63)
             return b"".join(out + [model.char(c) for c in u[at:]])
 
-        blocks, units, codes = [], [], []
-        for block, us in zip(right["block"].to_pylist(), right["units"].to_pylist()):
-            for u in us:
-                if u not in code:
-                    code[u] = encode(u)
+        blocks, units, sizes, codes = [], [], [], []
+        width = np.dtype(model.kind).itemsize
+        for block, text in zip(right["block"].to_pylist(), right["units"].to_pylist()):
+            got = []
+            for u in text.split(model.sep):
+                if (c := code.get(u)) is None:
+                    code[u] = c = encode(u)
+                got.append(c)
             blocks.append(block)
-            units.append(us)
-            codes.append([code[u] for u in us])
-        return pa.table({"block": pa.array(blocks, pa.int64()), "units": pa.array(units, pa.list_(pa.string())), "codes": pa.array(codes, pa.list_(pa.binary()))})
+            units.append(text)
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)).astype(np.uint32) // width)
+            codes.append(b"".join(got))
+        small = [x.astype(np.uint8).tobytes() if x.max() < 256 else x.tobytes() for x in sizes]
+        return pa.table({"block": pa.array(blocks, pa.int64()), "units": pa.array(units, pa.string()), "sizes": pa.array(small, pa.binary()), "codes": pa.array(codes, pa.binary())})
 
     out = scratch_path(spark, "dictionary")
-    packed = paths.groupBy("bucket").cogroup(routed.select(F.col("bucket").alias("of"), "block", "units").groupBy("of")).applyInArrow(pack, "block long, units array<string>, codes array<binary>")
+    packed = paths.groupBy("bucket").cogroup(routed.select(F.col("bucket").alias("of"), "block", "units").groupBy("of")).applyInArrow(pack, "block long, units string, sizes binary, codes binary")
     write(packed.repartition("block"), out, "block")
     dropped(lists)
     return out
@@ -336,8 +354,13 @@ class Lookup:
             self.code = {}
             folder = f"{base}/block={block}"
             if system.get_file_info(folder).type == fs.FileType.Directory:
-                for x in ds.dataset(folder, filesystem=system, format="parquet").to_batches(columns=["units", "codes"]):
-                    self.code.update(zip(x.column(0).flatten().to_pylist(), x.column(1).flatten().to_pylist()))
+                width = np.dtype(self.model.kind).itemsize
+                for x in ds.dataset(folder, filesystem=system, format="parquet").to_batches(columns=["units", "sizes", "codes"]):
+                    for text, size, code in zip(*(c.to_pylist() for c in x.columns)):
+                        us = text.split(self.model.sep)
+                        n = np.frombuffer(size, np.uint8 if len(size) == len(us) else np.uint32).astype(np.int64) * width
+                        end = np.cumsum(n)
+                        self.code.update(zip(us, [code[a:b] for a, b in zip((end - n).tolist(), end.tolist())]))
             self.block = block
         return self.code
 
@@ -390,5 +413,4 @@ def decode(df: DataFrame, model: Model | None = None, ids_col: str = "ids", out_
             text = pa.array([None if x is None else _text(x, surface, model) for x in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, out_col])
 
-    fields = df.schema.add(out_col, "string")
-    return df.mapInArrow(run, fields)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, StringType())]))
