@@ -69,8 +69,10 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list
         if sum(capacity - fill[b] for b in open_ if bins[b] and b != src) < fill[src]:
             break  # the others lack the room for even the emptiest bin: none can be emptied any more
         others = sorted((b for b in open_ if b != src and bins[b] and fill[src] <= fill[b] < capacity), key=lambda b: (-fill[b], b))
-        if not _step(sizes, bins, fill, src, others, capacity):
-            fixed.add(src)  # no step lowers it any more; steps of other bins only fill the rest
+        if _step(sizes, bins, fill, src, others, capacity):
+            fixed.clear()  # other bins have changed, so what was stuck may move again
+        else:
+            fixed.add(src)
     return [b for b in bins if b]
 
 
