@@ -6,13 +6,17 @@ documents holds for common come last, equals go by hash.  A pair that reaches th
 
 1. every such n-gram is a tile key; tiles are cut in bands of set size (neighbouring bands meet), since sizes that differ by more than the
    threshold can't match;
-2. each tile offers the pairs of its first document with the others (a star), and each document takes, of its stars, the one
+2. each tile and band offers the pairs of its leader with the others (a star), and each document takes, of its stars, the one
    with which it shares the most tiles; these pairs are compared exactly and linked documents get a common component;
-3. of every tile that still holds documents of more than one component all pairs between components are compared, so no pair is skipped but
-   those that are linked already: groups of thousands of copies cost their size, not its square, and the components are exact;
-4. a comparison first bounds the overlap from above by the bits of hashed bitmap signatures, then by sorted-array
+3. of every tile that still holds documents of more than one component, each document outside the largest one is bounded against all documents
+   of other components by bit counts of the bitmaps, and offered, for each other component, the document there with the best bound (tiles are
+   taken by buckets, a bucket offers once); offered pairs are compared exactly, and step 3 is repeated until it gives no new link;
+4. a comparison bounds the overlap from above by the bits of hashed bitmap signatures first, then sorted-array
    intersection gets it exactly.
 
+Every link is exact.  Step 3 spares comparisons within a component and offers one document for each tile and component, so groups of thousands of copies cost
+about their size; two groups that only some pair with a worse bound in every shared tile would link can stay apart (see README for measured recall).
+
 Defined results: null ids, null texts and texts without words are in no group.  Rows with the same id are one document (the
 row with the smallest text hash).  Texts with fewer than n words have one n-gram, all their words.  Equal sets have similarity 1.  The group's id is its
 smallest doc_id.  An empty table gives no groups.  Only the id and text columns are read.
@@ -21,6 +25,7 @@ smallest doc_id.  An empty table gives no groups.  Only the id and text columns
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, written
 
-SKETCH_BITS = 18
+MASK40 = np.uint64((1 << 40) - 1)
 _ALNUM = None
 
 
@@ -80,49 +85,75 @@ def grams(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of each text, and how many."""
+    """Distinct n-grams of each text as sorted 40-bit hashes, and how many."""
     g, count = grams(texts, n)
-    doc = np.repeat(np.arange(len(texts)), count)
-    order = np.lexsort((g, doc))
-    g, doc = g[order], doc[order]
-    keep = np.r_[True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])] if len(g) else np.zeros(0, bool)
-    return g[keep], np.bincount(doc[keep], minlength=len(texts))
+    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), count)
+    x = np.sort((doc << np.uint64(40)) | (g >> np.uint64(24)))
+    x = x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+    return x & MASK40, np.bincount((x >> np.uint64(40)).astype(np.int64), minlength=len(texts))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null and length(t) > 0")
 
 
-def frequency_sketch(rows: DataFrame, n: int) -> np.ndarray:
-    """How often n-grams of each hash bucket occur, over all documents: a fixed number of counters."""
+def gram_sets(rows: DataFrame, n: int) -> DataFrame:
+    """(i, lo, hi): each document's n-grams, 40-bit hashes in 4 + 1 bytes; documents without words are left out."""
 
     def run(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
             for s in range(0, b.num_rows, 128):
-                g, _ = grams(b.column(0).slice(s, 128).to_pylist(), n)
-                total += np.bincount((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        for k in range(0, 1 << SKETCH_BITS, 1 << 12):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + (1 << 12)].tolist()], pa.list_(pa.int64()))], ["k", "c"])
+                part = b.slice(s, 128)
+                g, size = _sets(part.column(1).to_pylist(), n)
+                lo, hi, off = (g & np.uint64(0xFFFFFFFF)).astype(np.uint32), (g >> np.uint64(32)).astype(np.uint8), np.r_[0, np.cumsum(size)]
+                yield pa.RecordBatch.from_arrays([part.column(0), _chunks(lo, off), _chunks(hi, off)], ["i", "lo", "hi"]).filter(pa.array(size > 0))
+
+    return rows.mapInArrow(run, "i long, lo binary, hi binary")
+
+
+def _chunks(x: np.ndarray, off: np.ndarray) -> pa.Array:
+    """x cut at off, as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _unpack(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of all rows in turn, and how many each row has."""
+    lo, hi = b.column(1), b.column(2)
+    size = np.diff(np.frombuffer(hi.buffers()[1], np.int32)[hi.offset : hi.offset + len(hi) + 1])
+    raw = lambda c, t: np.frombuffer(c.buffers()[2], np.uint8)[(o := np.frombuffer(c.buffers()[1], np.int32))[c.offset] : o[c.offset + len(c)]].copy().view(t)
+    return (raw(hi, np.uint8).astype(np.uint64) << np.uint64(32)) | raw(lo, np.uint32), size.astype(np.int64)
 
-    size = 1 << 12
+
+def frequency_sketch(sets: DataFrame, bits: int) -> np.ndarray:
+    """How many documents have n-grams of each hash bucket: 2 ** bits counters, over all documents."""
+    chunk = 1 << 16
+
+    def run(batches):
+        total = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            if b.num_rows:
+                total += np.bincount((_unpack(b)[0] >> np.uint64(40 - bits)).astype(np.int64), minlength=1 << bits)
+        for k in range(0, 1 << bits, chunk):
+            part = total[k : k + chunk]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(part.astype(np.int32).tobytes(), 1)], pa.binary())], ["k", "c"])
 
     def add(left: pa.Table) -> pa.Table:
-        c = np.zeros(size, np.int64)
-        for x in left["c"].to_pylist():
-            c += np.array(x)
-        return pa.table({"k": pa.array([left["k"][0].as_py()], pa.int32()), "c": pa.array([c.tolist()], pa.list_(pa.int64()))})
-
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in rows.select("t").mapInArrow(run, "k int, c array<long>").groupBy("k").applyInArrow(add, "k int, c array<long>").collect():
-        out[r["k"] : r["k"] + size] = r["c"]
+        c = sum(np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in left["c"].to_pylist())
+        return pa.table({"k": left["k"].combine_chunks()[:1], "c": pa.array([zlib.compress(c.tobytes(), 1)], pa.binary())})
+
+    out = np.zeros(1 << bits, np.int64)
+    for r in sets.mapInArrow(run, "k long, c binary").groupBy("k").applyInArrow(add, "k long, c binary").collect():
+        c = np.frombuffer(zlib.decompress(r["c"]), np.int64)
+        out[r["k"] : r["k"] + len(c)] = c
     return out
 
 
 def levels(sketch: np.ndarray) -> np.ndarray:
-    """Order of the buckets: 0 for up to twice the mean, then one more for each doubling."""
-    mean = max(float(sketch.mean()), 4.0)
-    return np.maximum(np.ceil(np.log2(np.maximum(sketch, 1) / (2 * mean))), 0).astype(np.uint8)
+    """Order of the buckets: 0 for what chance explains (few documents beyond the mean), then one more for each doubling; at most 31."""
+    mean = float(sketch.mean())
+    over = np.maximum(sketch - mean - 3 * math.sqrt(mean), 0) / 16
+    return np.minimum(np.ceil(np.log2(np.maximum(over, 1))), 31).astype(np.uint8)
 
 
 def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -134,103 +165,93 @@ def band_of(size: np.ndarray, threshold: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / -np.log(threshold) + 1e-9).astype(np.int64)
 
 
-def tiles(rows: DataFrame, order, n: int, threshold: float, buckets: int) -> DataFrame:
-    """(bucket, keys, docs, sizes): packed prefix n-grams; key, id and set size of each entry."""
+def tiles(sets: DataFrame, order, bits: int, threshold: float, buckets: int) -> DataFrame:
+    """(bucket, keys, at, ids, sizes, ranks): packed prefix n-grams, and their documents with set size and share of common n-grams."""
 
     def run(batches):
         level = order.value
         for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                ks, ds, zs = [], [], []
-                for o in range(s, min(s + 1024, b.num_rows), 128):
-                    part = b.slice(o, min(128, s + 1024 - o))
-                    ids = part.column(0).to_numpy()
-                    g, size = _sets(part.column(1).to_pylist(), n)
-                    doc = np.repeat(np.arange(len(ids)), size)
-                    by = np.lexsort((g, level[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
-                    place = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
-                    take = place < np.repeat(prefix_length(size, threshold), size)
-                    ks.append(g[by][take])
-                    ds.append(np.repeat(ids, size)[take])
-                    zs.append(np.repeat(size, size)[take])
-                k, d, z = np.concatenate(ks), np.concatenate(ds), np.concatenate(zs).astype(np.int32)
-                part = ((k & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                k, d, z, part = k[by], d[by], z[by], part[by]
-                cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-                end = np.r_[cut[1:], len(part)] if len(part) else []
-                # documents are numbered within the row: an entry takes 8 + 2 bytes
-                out: list[list] = [[], [], [], [], []]
-                for a, e in zip(cut, end):
+            for s in range(0, b.num_rows, 4096):
+                part = b.slice(s, 4096)
+                ids = part.column(0).to_numpy()
+                g, size = _unpack(part)
+                lv = level[(g >> np.uint64(40 - bits)).astype(np.int64)].astype(np.uint64)
+                doc = np.repeat(np.arange(len(ids), dtype=np.uint64), size)
+                rank = np.bincount(doc.astype(np.int64), lv > 0, len(ids)) * 255 / np.maximum(size, 1)
+                x = np.sort((doc << np.uint64(45)) | (lv << np.uint64(40)) | g)
+                place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+                x = x[place < np.repeat(prefix_length(size, threshold), size)]
+                k, d = x & MASK40, (x >> np.uint64(45)).astype(np.int64)
+                of = (k % np.uint64(buckets)).astype(np.int64)
+                by = np.argsort(of, kind="stable")
+                k, d, of = k[by], d[by], of[by]
+                cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
+                out: list[list] = [[] for _ in range(6)]
+                for a, e in zip(cut, np.r_[cut[1:], len(of)] if len(of) else []):
+                    # documents are numbered within the row: an entry takes 5 + 2 bytes
                     own, at = np.unique(d[a:e], return_inverse=True)
-                    size_of = np.zeros(len(own), np.int32)
-                    size_of[at] = z[a:e]
-                    for c, v in zip(out, (int(part[a]), k[a:e].tobytes(), at.astype(np.uint16).tobytes(), own.astype(np.int64).tobytes(), size_of.tobytes())):
+                    kk = k[a:e]
+                    key = (kk & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (kk >> np.uint64(32)).astype(np.uint8).tobytes()
+                    for c, v in zip(out, (int(of[a]), key, at.astype(np.uint16).tobytes(), ids[own].tobytes(), size[own].astype(np.int32).tobytes(), rank[own].astype(np.uint8).tobytes())):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "keys", "at", "ids", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "keys", "at", "ids", "sizes", "ranks"])
 
-    return rows.mapInArrow(run, "bucket int, keys binary, at binary, ids binary, sizes binary")
+    return sets.mapInArrow(run, "bucket int, keys binary, at binary, ids binary, sizes binary, ranks binary")
 
 
-def _members(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries of one bucket in tile order: key, id, size; only of tiles with several documents."""
-    keys, ids, sizes = [], [], []
-    for k, a, i, z in zip(*(t[c].to_pylist() for c in ("keys", "at", "ids", "sizes"))):
+def _members(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Entries of one bucket in tile order: key, id, size, rank; only of tiles with several documents."""
+    cols: list[list] = [[], [], [], []]
+    for key, a, i, z, r in zip(*(t[c].to_pylist() for c in ("keys", "at", "ids", "sizes", "ranks"))):
         at = np.frombuffer(a, np.uint16)
-        keys.append(np.frombuffer(k, np.uint64))
-        ids.append(np.frombuffer(i, np.int64)[at])
-        sizes.append(np.frombuffer(z, np.int32)[at])
-    k, d, z = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
+        n = len(at)
+        k = np.frombuffer(key[: 4 * n], np.uint32).astype(np.uint64) | (np.frombuffer(key[4 * n :], np.uint8).astype(np.uint64) << np.uint64(32))
+        for c, v in zip(cols, (k, np.frombuffer(i, np.int64)[at], np.frombuffer(z, np.int32)[at], np.frombuffer(r, np.uint8)[at])):
+            c.append(v)
+    k, d, z, r = (np.concatenate(c) for c in cols)
     by = np.lexsort((d, k))
-    k, d, z = k[by], d[by], z[by]
+    k, d, z, r = k[by], d[by], z[by], r[by]
     new = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
-    k, d, z = k[new], d[new], z[new]
+    k, d, z, r = k[new], d[new], z[new], r[new]
     tile = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1
     several = np.bincount(tile)[tile] > 1
-    return k[several], d[several], z[several]
+    return k[several], d[several], z[several], r[several]
+
+
+STARS = "a long, b long, n int, docs array<long>, sizes array<int>, ranks array<int>"
 
 
 def stars(packed: DataFrame, threshold: float) -> DataFrame:
-    """(kind, a, b, n) pairs of a tile's first document with the others, counted, and (tile, docs, sizes) of tiles of several."""
+    """Pairs (a, b) of the leader of a tile and band with its other documents, and in how many tiles; and the tiles of several documents.
+    The leader is the document most of whose n-grams are common (the least changed of many copies), then the one of the smallest id."""
 
     def run(t: pa.Table) -> pa.Table:
-        k, d, z = _members(t)
+        k, d, z, r = _members(t)
         if not len(k):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "docs": pa.array([], pa.list_(pa.int64())), "sizes": pa.array([], pa.list_(pa.int32()))})
-        # stars: tile and band of set size
+            return pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("ranks", pa.list_(pa.int32()))]).empty_table()
         band = band_of(z, threshold)
-        by = np.lexsort((d, band, k))
-        k, d, z, band = k[by], d[by], z[by], band[by]
-        first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (band[1:] != band[:-1])])
+        by = np.lexsort((d, 255 - r, band, k))
+        first = np.flatnonzero(np.r_[True, (k[by][1:] != k[by][:-1]) | (band[by][1:] != band[by][:-1])])
         size = np.diff(np.r_[first, len(k)])
-        lead, lead_z = np.repeat(d[first], size), np.repeat(z[first], size)
-        fits = (lead != d) & (np.minimum(z, lead_z) >= threshold * np.maximum(z, lead_z) - 1e-9)
-        ab, n = np.unique(np.stack([lead[fits], d[fits]], 1), axis=0, return_counts=True)
+        lead, lead_z = np.repeat(d[by][first], size), np.repeat(z[by][first], size)
+        fits = (lead != d[by]) & (np.minimum(z[by], lead_z) >= threshold * np.maximum(z[by], lead_z) - 1e-9)
+        ab, n = np.unique(np.stack([lead[fits], d[by][fits]], 1), axis=0, return_counts=True)
         # tiles of all bands by their members, each list once
-        by = np.lexsort((d, k))
-        k, d, z = k[by], d[by], z[by]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        size = np.diff(np.r_[first, len(k)])
         lists, seen = [], set()
-        for f, s in zip(first.tolist(), size.tolist()):
-            h = d[f : f + s].tobytes()
-            if h not in seen:
+        for f, s in zip(first.tolist(), np.diff(np.r_[first, len(k)]).tolist()):
+            if (h := d[f : f + s].tobytes()) not in seen:
                 seen.add(h)
                 lists.append((f, s))
-        off = np.cumsum([0] + [s for _, s in lists])
         flat = np.concatenate([np.arange(f, f + s) for f, s in lists])
         m, o = len(ab), len(lists)
-        return pa.table(
-            {
-                "a": pa.array(np.r_[ab[:, 0], np.zeros(o, np.int64)], pa.int64(), mask=np.r_[np.zeros(m, bool), np.ones(o, bool)]),
-                "b": pa.array(np.r_[ab[:, 1], np.zeros(o, np.int64)], pa.int64(), mask=np.r_[np.zeros(m, bool), np.ones(o, bool)]),
-                "n": pa.array(np.r_[n, np.zeros(o)].astype(np.int32), pa.int32()),
-                "docs": pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(m), off].astype(np.int32)), pa.array(d[flat]), mask=pa.array(np.r_[np.ones(m, bool), np.zeros(o, bool)])),
-                "sizes": pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(m), off].astype(np.int32)), pa.array(z[flat]), mask=pa.array(np.r_[np.ones(m, bool), np.zeros(o, bool)])),
-            }
-        )
+        off = pa.array(np.r_[np.zeros(m), np.cumsum([0] + [s for _, s in lists])].astype(np.int32))
+        none = np.r_[np.ones(m, bool), np.zeros(o, bool)]
+        as_list = lambda v, t: pa.ListArray.from_arrays(off, pa.array(v[flat], t), mask=pa.array(none))
+        pair = lambda v: pa.array(np.r_[v, np.zeros(o, np.int64)], pa.int64(), mask=~none)
+        return pa.table({"a": pair(ab[:, 0]), "b": pair(ab[:, 1]), "n": pa.array(np.r_[n, np.zeros(o)].astype(np.int32)), "docs": as_list(d, pa.int64()), "sizes": as_list(z, pa.int32()), "ranks": as_list(r.astype(np.int32), pa.int32())})
 
-    return packed.groupBy("bucket").applyInArrow(run, "a long, b long, n int, docs array<long>, sizes array<int>")
+    return packed.groupBy("bucket").applyInArrow(run, STARS)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -259,22 +280,21 @@ def overlap(x: np.ndarray, y: np.ndarray, need: int, sigs: tuple[np.ndarray, np.
     return int((large[np.minimum(at, len(large) - 1)] == small).sum())
 
 
-def verify(pairs: DataFrame, rows: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs (a, b) that reach the threshold."""
+def signed_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(i, g, sig) of the documents ids (i): sorted 32-bit hashes, which tell the n-grams of one pair apart, and the bitmap."""
 
-    def to_sets(batches):
+    def run(batches):
         for b in batches:
-            for s in range(0, b.num_rows, 128):
-                part = b.slice(s, 128)
-                g, size = _sets(part.column(1).to_pylist(), n)
-                off = np.r_[0, np.cumsum(size)]
-                # 32 bits tell the n-grams of one pair apart; sorted and distinct
-                sets = [np.unique(g[a:e].astype(np.uint32)) for a, e in zip(off, off[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())], ["i", "g", "sig"])
+            got = [np.unique(np.frombuffer(x, np.uint32)) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in got], pa.binary()), pa.array([signature(x).tobytes() for x in got], pa.binary())], ["i", "g", "sig"])
+
+    return sets.join(ids.hint("merge"), "i", "left_semi").select("i", "lo").mapInArrow(run, "i long, g binary, sig binary")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
-    sets = rows.join(ids, "i", "left_semi").mapInArrow(to_sets, "i long, g binary, sig binary")
-    with_b = pairs.join(sets.select(F.col("i").alias("b"), F.col("g").alias("gb"), F.col("sig").alias("sb")), "b")
+
+def verify(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs (a, b) that reach the threshold."""
+    with_b = pairs.hint("merge").join(signed.select(F.col("i").alias("b"), F.col("g").alias("gb"), F.col("sig").alias("sb")), "b")
+    lead = signed.join(pairs.select(F.col("a").alias("i")).distinct().hint("merge"), "i", "left_semi")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -291,10 +311,66 @@ def verify(pairs: DataFrame, rows: DataFrame, n: int, threshold: float) -> DataF
                     out.append((a, b, round(both / (len(x) + len(y) - both), 6)))
         return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64()), "jaccard": pa.array([r[2] for r in out], pa.float64())})
 
-    lead = sets.join(pairs.select(F.col("a").alias("i")).distinct(), "i", "left_semi")
     return lead.groupBy("i").cogroup(with_b.groupBy("a")).applyInArrow(compare, "a long, b long, jaccard double")
 
 
+def _bounds(x: np.ndarray, y: np.ndarray, sigs: list[bytes], size: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of documents x[k] and y[k]; of two bitmaps of different width the larger is folded."""
+    width = np.array([len(s) // 8 for s in sigs])
+    least = np.minimum(width[x], width[y])
+    out = np.zeros(len(x), np.int64)
+    for w in np.unique(least).tolist():
+        on = np.flatnonzero(least == w)
+        used = np.unique(np.r_[x[on], y[on]])
+        m = np.zeros((len(used), w), np.uint64)
+        for k, u in enumerate(used.tolist()):
+            m[k] = _fold(np.frombuffer(sigs[u], np.uint64), w)
+        for at in range(0, len(on), 100_000):
+            o = on[at : at + 100_000]
+            differ = np.bitwise_count(m[np.searchsorted(used, x[o])] ^ m[np.searchsorted(used, y[o])]).sum(1).astype(np.int64)
+            out[o] = (size[x[o]] + size[y[o]] - differ) // 2
+    return out
+
+
+def _cross(tile: np.ndarray, d: np.ndarray, z: np.ndarray, c: np.ndarray, sig: list[bytes], threshold: float) -> np.ndarray:
+    """Of several tiles: for each document outside a tile's largest component and each other component the document there that the
+    bitmaps bound best, if they don't rule it out."""
+    by = np.lexsort((d, c, tile))
+    tile, d, z, c = tile[by], d[by], z[by], c[by]
+    ids, first_row, doc = np.unique(d, return_index=True, return_inverse=True)
+    sigs, size, comp = [sig[by[r]] for r in first_row], z[first_row], c[first_row]
+    start = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+    count = np.diff(np.r_[start, len(tile)])
+    t = np.repeat(np.arange(len(start)), count)
+    run = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (c[1:] != c[:-1])])  # a component within a tile
+    length = np.diff(np.r_[run, len(tile)])
+    pick = np.lexsort((run, -length, t[run]))
+    main = np.zeros(len(start), np.int64)
+    head = np.flatnonzero(np.r_[True, t[run][pick][1:] != t[run][pick][:-1]])
+    main[t[run][pick][head]] = c[run[pick[head]]]
+    outside = np.flatnonzero(c != main[t])
+    seen = []
+    todo = np.cumsum(count[t[outside]])
+    cuts = np.r_[np.searchsorted(todo, np.arange(0, todo[-1], 2_000_000)), len(todo)] if len(todo) else []
+    for lo, hi in zip(cuts, cuts[1:]):
+        if lo == hi:
+            continue
+        r = outside[lo:hi]
+        n = count[t[r]]
+        left = np.repeat(r, n)
+        right = np.repeat(start[t[r]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        ok = (c[left] != c[right]) & (np.minimum(z[left], z[right]) >= threshold * np.maximum(z[left], z[right]) - 1e-9) & ((c[right] == main[t[right]]) | (d[right] > d[left]))
+        seen.append(np.unique(doc[left[ok]] * len(ids) + doc[right[ok]]))
+    pairs = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+    x, y = pairs // max(len(ids), 1), pairs % max(len(ids), 1)
+    fit = _bounds(x, y, sigs, size) - np.ceil(threshold / (1 + threshold) * (size[x] + size[y]) - 1e-9)
+    x, y, fit = x[fit >= 0], y[fit >= 0], fit[fit >= 0]
+    best = np.lexsort((ids[y], -fit, comp[y], x))
+    x, y = x[best], y[best]
+    keep = np.r_[True, (x[1:] != x[:-1]) | (comp[y][1:] != comp[y][:-1])] if len(x) else np.zeros(0, bool)
+    return np.unique(np.stack([np.minimum(ids[x], ids[y])[keep], np.maximum(ids[x], ids[y])[keep]], 1), axis=0)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(i, c): for every id in edges (a, b) the smallest id of its component, by hooking to smaller labels and shortening."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -321,47 +397,45 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     if twice:
         some = rows.join(repeats, "i", "left_semi").groupBy("i").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
         rows = written(rows.join(repeats, "i", "left_anti").unionByName(some), "single")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // tile_docs))
-    order = spark.sparkContext.broadcast(levels(frequency_sketch(rows, n)))
-    found = written(stars(tiles(rows, order, n, threshold, buckets), threshold), "stars")
+    n_docs = docs.count()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // tile_docs))
+    # counters for the sketch: eight a document, within what a broadcast may hold
+    bits = min(max(n_docs.bit_length() + 3, 16), 24)
+    sets = written(gram_sets(rows, n), "sets")
+    order = spark.sparkContext.broadcast(levels(frequency_sketch(sets, bits)))
+    found = written(stars(tiles(sets, order, bits, threshold, buckets), threshold), "stars")
     counted = found.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
     best = written(counted.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "best")
-    links = written(verify(best, rows, n, threshold), "links")
+    several = found.where("docs is not null").select(F.explode("docs").alias("i")).distinct()
+    signed = written(signed_sets(sets, several), "signed")
+    dropped(sets)
+    links = written(verify(best, signed, threshold), "links")
     comp = components(links)
-    # tiles with more than one component
-    part = F.coalesce("c", "d")
+    parts = [links]
+    # tiles with documents of more than one component, until they give no new link
     member = found.where("docs is not null").select(F.xxhash64("docs", F.size("docs")).alias("tile"), F.explode(F.arrays_zip("docs", "sizes")).alias("x")).select("tile", F.col("x.docs").alias("d"), F.col("x.sizes").alias("z"))
-    named = member.distinct().join(comp.select(F.col("i").alias("d"), "c"), "d", "left").select("tile", "d", "z", part.alias("c"))
-    mixed = named.groupBy("tile").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.collect_list(F.struct("z", "d", "c")).alias("m")).where("lo != hi").select("m")
-
-    def cross(batches):
-        for b in batches:
-            out: set[tuple[int, int]] = set()
-            for m in b.column(0).to_pylist():
-                z, d, c = (np.array([x[k] for x in m]) for k in ("z", "d", "c"))
-                by = np.argsort(z, kind="stable")
-                z, d, c = z[by], d[by], c[by]
-                to = np.searchsorted(z, z / threshold + 1e-9, side="right")
-                for i in range(len(z)):
-                    j = np.arange(i + 1, to[i])
-                    j = j[c[j] != c[i]]
-                    out.update(zip(np.minimum(d[j], d[i]).tolist(), np.maximum(d[j], d[i]).tolist()))
-                if len(out) > 200_000:
-                    yield _pairs(out)
-                    out = set()
-            yield _pairs(out)
-
-    rest = written(mixed.mapInArrow(cross, "a long, b long").distinct().join(best, ["a", "b"], "left_anti"), "rest")
-    more = written(verify(rest, rows, n, threshold), "links")
-    dropped(found, best, rest)
-    links = links.unionByName(more)
-    final = components(links) if not more.isEmpty() else comp
-    return links, final.select(F.col("i").alias("doc_id"), F.col("c").alias("group_id"))
-
-
-def _pairs(out: set[tuple[int, int]]) -> pa.RecordBatch:
-    ab = np.array(sorted(out), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+    tried = best
+    while True:
+        named = member.distinct().join(comp.select(F.col("i").alias("d"), "c").hint("merge"), "d", "left").select("tile", "d", "z", F.coalesce("c", "d").alias("c"))
+        mixed = named.groupBy("tile").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.collect_list(F.struct("d", "z", "c")).alias("m")).where("lo != hi")
+        signs = mixed.select("tile", F.explode("m").alias("x")).select("tile", "x.*").join(signed.select(F.col("i").alias("d"), "sig").hint("merge"), "d")
+        offered = written(signs.groupBy(F.pmod("tile", F.lit(4 * buckets)).alias("k")).applyInArrow(lambda t: _offer(t, threshold), "a long, b long").distinct(), "offered")
+        fresh = written(offered.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "fresh")
+        dropped(offered)
+        more = written(verify(fresh, signed, threshold), "links")
+        tried = tried.unionByName(fresh)
+        if more.isEmpty():
+            break
+        parts.append(more)
+        links = links.unionByName(more)
+        comp = components(links)
+    dropped(found, signed)
+    return links, comp.select(F.col("i").alias("doc_id"), F.col("c").alias("group_id"))
+
+
+def _offer(t: pa.Table, threshold: float) -> pa.Table:
+    pairs = _cross(t["tile"].to_numpy(), t["d"].to_numpy(), t["z"].to_numpy().astype(np.int64), t["c"].to_numpy(), t["sig"].to_pylist(), threshold)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
 def groups(docs: DataFrame, **params) -> DataFrame:
