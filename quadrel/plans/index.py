@@ -133,12 +133,12 @@ class Index:
     def has_content(self, id_: int) -> bool:
         return not self.document(id_).isEmpty()
 
-    def parse(self, text: str, mode: str = "YAHOO") -> Q.Node:
-        """mode YAHOO analyses and rewrites; MG4J takes the text as it is, in the default field."""
+    def parse(self, text: str, mode: str = "free") -> Q.Node:
+        """mode free analyses and rewrites; raw takes the text as it is, in the default field."""
         if filters.blocked(text, self.config.block_phrases):
             raise Q.QueryError("the query is blocked")
         text = Q.encode_resources(Q.decode_entities(text), self.ids_of(Q.resource_names(text)))
-        raw = mode == "MG4J"
+        raw = mode == "raw"
         node = Q.Parser(self.config.stop, self.config.stem, {} if raw else {**self.aliases, **{p: f for p, f in self.fields.items()}}, raw)(text)
         if raw:
             return Q.Node("in", (node,), (Q.DEFAULT_FIELD,)) if node.kind in ("term", "phrase", "prefix", "range") else node
@@ -164,7 +164,7 @@ class Index:
         s = rank.score(self.t["tokens"], self.t["doc_sizes"], self.t["term_stats"], terms, fields, self.n, self.avgdl, self.config.weights, found, self.priors)
         return found.join(s, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
-    def search(self, text: str, start: int = 0, size: int = 10, mode: str = "YAHOO", deref: bool = True, limit: int = results.LIMIT) -> dict:
+    def search(self, text: str, start: int = 0, size: int = 10, mode: str = "free", deref: bool = True, limit: int = results.LIMIT) -> dict:
         """A page of results: query, parsed query, number of results, times, and `items`, a DataFrame."""
         filters.check_range(start, size)
         began = time.time()
