@@ -293,7 +293,8 @@ def signed_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the pairs (a, b) that reach the threshold."""
-    with_b = pairs.hint("merge").join(signed.select(F.col("i").alias("b"), F.col("g").alias("gb"), F.col("sig").alias("sb")), "b")
+    # both joins read the same exchange of the sets by id
+    with_b = signed.join(pairs.select(F.col("b").alias("i"), "a").hint("merge"), "i").select("a", F.col("i").alias("b"), F.col("g").alias("gb"), F.col("sig").alias("sb"))
     lead = signed.join(pairs.select(F.col("a").alias("i")).distinct().hint("merge"), "i", "left_semi")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -332,13 +333,13 @@ def _bounds(x: np.ndarray, y: np.ndarray, sigs: list[bytes], size: np.ndarray) -
     return out
 
 
-def _cross(tile: np.ndarray, d: np.ndarray, z: np.ndarray, c: np.ndarray, sig: list[bytes], threshold: float) -> np.ndarray:
+def _cross(tile: np.ndarray, d: np.ndarray, z: np.ndarray, c: np.ndarray, sig: dict[int, bytes], threshold: float) -> np.ndarray:
     """Of several tiles: for each document outside a tile's largest component and each other component the document there that the
     bitmaps bound best, if they don't rule it out."""
     by = np.lexsort((d, c, tile))
     tile, d, z, c = tile[by], d[by], z[by], c[by]
     ids, first_row, doc = np.unique(d, return_index=True, return_inverse=True)
-    sigs, size, comp = [sig[by[r]] for r in first_row], z[first_row], c[first_row]
+    sigs, size, comp = [sig[i] for i in ids.tolist()], z[first_row], c[first_row]
     start = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
     count = np.diff(np.r_[start, len(tile)])
     t = np.repeat(np.arange(len(start)), count)
@@ -418,8 +419,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     while True:
         named = member.distinct().join(comp.select(F.col("i").alias("d"), "c").hint("merge"), "d", "left").select("tile", "d", "z", F.coalesce("c", "d").alias("c"))
         mixed = named.groupBy("tile").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.collect_list(F.struct("d", "z", "c")).alias("m")).where("lo != hi")
-        signs = mixed.select("tile", F.explode("m").alias("x")).select("tile", "x.*").join(signed.select(F.col("i").alias("d"), "sig").hint("merge"), "d")
-        offered = written(signs.groupBy(F.pmod("tile", F.lit(4 * buckets)).alias("k")).applyInArrow(lambda t: _offer(t, threshold), "a long, b long").distinct(), "offered")
+        # tiles of one component stay together, so that a document's bitmap travels once for all of them
+        together = F.pmod(F.xxhash64("lo", F.pmod("tile", F.lit(4))), F.lit(4 * buckets)).alias("k")
+        entries = written(mixed.select(together, "tile", F.explode("m").alias("x")).select("k", "tile", "x.*"), "mixed")
+        signs = entries.select("k", "d").distinct().join(signed.select(F.col("i").alias("d"), "sig").hint("merge"), "d").select(F.col("k").alias("of"), F.col("d").alias("i"), "sig")
+        offers = entries.groupBy("k").cogroup(signs.groupBy("of")).applyInArrow(lambda t, g: _offer(t, g, threshold), "a long, b long")
+        offered = written(offers.distinct(), "offered")
+        dropped(entries)
         fresh = written(offered.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "fresh")
         dropped(offered)
         more = written(verify(fresh, signed, threshold), "links")
@@ -433,8 +439,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     return links, comp.select(F.col("i").alias("doc_id"), F.col("c").alias("group_id"))
 
 
-def _offer(t: pa.Table, threshold: float) -> pa.Table:
-    pairs = _cross(t["tile"].to_numpy(), t["d"].to_numpy(), t["z"].to_numpy().astype(np.int64), t["c"].to_numpy(), t["sig"].to_pylist(), threshold)
+def _offer(t: pa.Table, g: pa.Table, threshold: float) -> pa.Table:
+    sig = dict(zip(g["i"].to_pylist(), g["sig"].to_pylist()))
+    pairs = _cross(t["tile"].to_numpy(), t["d"].to_numpy(), t["z"].to_numpy().astype(np.int64), t["c"].to_numpy(), sig, threshold) if t.num_rows else np.zeros((0, 2), np.int64)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
