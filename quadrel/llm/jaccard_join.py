@@ -15,7 +15,7 @@ documents holds for common come last, equals go by hash.  A pair that reaches th
    intersection gets it exactly.
 
 Every link is exact.  Step 3 spares comparisons within a component and offers one document for each tile and component, so groups of thousands of copies cost
-about their size; two groups that only some pair with a worse bound in every shared tile would link can stay apart (see README for measured recall).
+about their size; two groups that only a pair with a worse bound in every bucket would link can stay apart (see README).
 
 Defined results: null ids, null texts and texts without words are in no group.  Rows with the same id are one document (the
 row with the smallest text hash).  Texts with fewer than n words have one n-gram, all their words.  Equal sets have similarity 1.  The group's id is its
