@@ -10,12 +10,13 @@ documents holds for common come last, equals go by hash.  A pair that reaches th
    with which it shares the most tiles; these pairs are compared exactly and linked documents get a common component;
 3. of every tile that still holds documents of more than one component, each document outside the largest one is bounded against all documents
    of other components by bit counts of the bitmaps, and offered, for each other component, the document there with the best bound (tiles are
-   taken by buckets, a bucket offers once); offered pairs are compared exactly, and step 3 is repeated until it gives no new link;
+   taken by buckets, a bucket offers once); offered pairs are compared exactly, and step 3 is repeated until it gives no new link; then
+   every pair between components that the bitmaps don't rule out is offered once;
 4. a comparison bounds the overlap from above by the bits of hashed bitmap signatures first, then sorted-array
    intersection gets it exactly.
 
-Every link is exact.  Step 3 spares comparisons within a component and offers one document for each tile and component, so groups of thousands of copies cost
-about their size; two groups that only a pair with a worse bound in every bucket would link can stay apart (see README).
+Every link is exact, and every pair that shares a tile is compared, ruled out by a bound or within one component, so the components are exact but for collisions of
+hashes.  Only pairs within a component are spared; members of other components that the bitmaps don't rule out are all paid for.
 
 Defined results: null ids, null texts and texts without words are in no group.  Rows with the same id are one document (the
 row with the smallest text hash).  Texts with fewer than n words have one n-gram, all their words.  Equal sets have similarity 1.  The group's id is its
@@ -333,9 +334,9 @@ def _bounds(x: np.ndarray, y: np.ndarray, sigs: list[bytes], size: np.ndarray) -
     return out
 
 
-def _cross(tile: np.ndarray, d: np.ndarray, z: np.ndarray, c: np.ndarray, sig: dict[int, bytes], threshold: float) -> np.ndarray:
+def _cross(tile: np.ndarray, d: np.ndarray, z: np.ndarray, c: np.ndarray, sig: dict[int, bytes], threshold: float, every: bool = False) -> np.ndarray:
     """Of several tiles: for each document outside a tile's largest component and each other component the document there that the
-    bitmaps bound best, if they don't rule it out."""
+    bitmaps bound best, if they don't rule it out; or every document there that they don't rule out."""
     by = np.lexsort((d, c, tile))
     tile, d, z, c = tile[by], d[by], z[by], c[by]
     ids, first_row, doc = np.unique(d, return_index=True, return_inverse=True)
@@ -368,7 +369,7 @@ def _cross(tile: np.ndarray, d: np.ndarray, z: np.ndarray, c: np.ndarray, sig: d
     x, y, fit = x[fit >= 0], y[fit >= 0], fit[fit >= 0]
     best = np.lexsort((ids[y], -fit, comp[y], x))
     x, y = x[best], y[best]
-    keep = np.r_[True, (x[1:] != x[:-1]) | (comp[y][1:] != comp[y][:-1])] if len(x) else np.zeros(0, bool)
+    keep = np.r_[True, every | (x[1:] != x[:-1]) | (comp[y][1:] != comp[y][:-1])] if len(x) else np.zeros(0, bool)
     return np.unique(np.stack([np.minimum(ids[x], ids[y])[keep], np.maximum(ids[x], ids[y])[keep]], 1), axis=0)
 
 
@@ -412,10 +413,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     dropped(sets)
     links = written(verify(best, signed, threshold), "links")
     comp = components(links)
-    parts = [links]
-    # tiles with documents of more than one component, until they give no new link
+    # tiles with documents of more than one component: the best member of each until they give no new link, then every member that is left
     member = found.where("docs is not null").select(F.xxhash64("docs", F.size("docs")).alias("tile"), F.explode(F.arrays_zip("docs", "sizes")).alias("x")).select("tile", F.col("x.docs").alias("d"), F.col("x.sizes").alias("z"))
-    tried = best
+    tried, every = best, False
     while True:
         named = member.distinct().join(comp.select(F.col("i").alias("d"), "c").hint("merge"), "d", "left").select("tile", "d", "z", F.coalesce("c", "d").alias("c"))
         mixed = named.groupBy("tile").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.collect_list(F.struct("d", "z", "c")).alias("m")).where("lo != hi")
@@ -423,25 +423,29 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         together = F.pmod(F.xxhash64("lo", F.pmod("tile", F.lit(4))), F.lit(4 * buckets)).alias("k")
         entries = written(mixed.select(together, "tile", F.explode("m").alias("x")).select("k", "tile", "x.*"), "mixed")
         signs = entries.select("k", "d").distinct().join(signed.select(F.col("i").alias("d"), "sig").hint("merge"), "d").select(F.col("k").alias("of"), F.col("d").alias("i"), "sig")
-        offers = entries.groupBy("k").cogroup(signs.groupBy("of")).applyInArrow(lambda t, g: _offer(t, g, threshold), "a long, b long")
+        offers = entries.groupBy("k").cogroup(signs.groupBy("of")).applyInArrow(lambda t, g: _offer(t, g, threshold, every), "a long, b long")
         offered = written(offers.distinct(), "offered")
         dropped(entries)
         fresh = written(offered.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "fresh")
         dropped(offered)
         more = written(verify(fresh, signed, threshold), "links")
         tried = tried.unionByName(fresh)
-        if more.isEmpty():
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = components(links)
+        elif not every:
+            every = True
+            continue
+        # once every pair between components has been compared, later components only have fewer
+        if every:
             break
-        parts.append(more)
-        links = links.unionByName(more)
-        comp = components(links)
     dropped(found, signed)
     return links, comp.select(F.col("i").alias("doc_id"), F.col("c").alias("group_id"))
 
 
-def _offer(t: pa.Table, g: pa.Table, threshold: float) -> pa.Table:
+def _offer(t: pa.Table, g: pa.Table, threshold: float, every: bool = False) -> pa.Table:
     sig = dict(zip(g["i"].to_pylist(), g["sig"].to_pylist()))
-    pairs = _cross(t["tile"].to_numpy(), t["d"].to_numpy(), t["z"].to_numpy().astype(np.int64), t["c"].to_numpy(), sig, threshold) if t.num_rows else np.zeros((0, 2), np.int64)
+    pairs = _cross(t["tile"].to_numpy(), t["d"].to_numpy(), t["z"].to_numpy().astype(np.int64), t["c"].to_numpy(), sig, threshold, every) if t.num_rows else np.zeros((0, 2), np.int64)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 

@@ -114,6 +114,24 @@ def test_jaccard_components_equal_brute_force(spark, docs, empty):
     assert ids.count(None) == 2 and ids.count(2) == 1 and not {40, 41} & set(ids) and {42, 43, 45} <= set(ids)
 
 
+def test_jaccard_tries_every_member_of_a_drifted_component(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(24):
+        word = lambda: f"w{rng.randrange(10**9)}"
+        base = [word() for _ in range(100)]
+        for k, n in [(k, 4) for k in range(40)] + [(900, 6)]:
+            w = list(base)
+            for j in rng.sample(range(100), n):
+                w[j] = word()
+            rows.append((g * 1000 + k, " ".join(w)))
+    want = {}
+    for g in range(24):
+        want |= jaccard_join.brute_force([r for r in rows if r[0] // 1000 == g], 3, 0.6)[1]
+    member = jaccard_join.join(_frame(spark, rows))[1]
+    assert {r["doc_id"]: r["group_id"] for r in member.collect()} == want
+
+
 def test_topk_equals_brute_force(spark, docs, empty):
     q = spark.createDataFrame([(1, "thon ered anre thon"), (2, None), (3, ""), (4, "zzz nothing"), (1, "word")], "item_id long, text string")
     got = topk.search(docs, q, k=5).collect()
