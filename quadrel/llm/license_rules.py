@@ -137,6 +137,7 @@ def _keywords(pattern: str) -> tuple[str, ...]:
     """For each branch of a pattern the plain runs that all its matches hold, joined by & (all are needed), in lower case."""
     out = []
     for b in _branches(pattern):
+        b = re.sub(r"(?<!\\)\.\{[\d,]*\}", "\0", b)
         b = re.sub(r"\(\?[:!=<]*", "(", b.replace(r"\.", "."))
         b = re.sub(r"\[[^\]]*\][?*+]?|\\.", "\0", b)
         while re.search(r"\([^()]*\)\??", b):
@@ -187,29 +188,29 @@ def _rules() -> list[tuple[str, str, int, tuple[str, ...], str]]:
 
 
 _NOTICES: list[tuple[str, str, int, tuple[str, ...], str]] = [
-    ("MIT/text", "MIT", 90, ("permission is hereby granted",), _t("Permission is hereby granted, free of charge, to any person obtaining a copy") + r"[\s\S]{0,1200}?" + _t("THE SOFTWARE IS PROVIDED") + r"[\s\S]{0,20}?AS IS"),
-    ("ISC/text", "ISC", 90, ("permission to use, copy, modify",), _t("Permission to use, copy, modify,") + _W + r"and(?:/or)?" + _W + _t("distribute this software for any purpose with or without fee is hereby granted")),
-    ("BSD/redistribution", "BSD", 80, ("redistribution and use in source",), _t("Redistribution and use in source and binary forms, with or without modification, are permitted")),
-    ("BSD-3-Clause/endorse", "BSD-3-Clause", 80, ("neither the name of",), _t("Neither the name of") + r"[\s\S]{1,120}?" + _t("may be used to endorse or promote products")),
-    ("BSD-4-Clause/advert", "BSD-4-Clause", 80, ("all advertising materials",), _t("All advertising materials mentioning features or use of this software must display")),
-    ("Apache-2.0/text", "Apache-2.0", 90, ("you may not use this file except",), r"Licensed" + _W + _t("under the Apache License, Version 2.0") + r"[\s\S]{0,80}?" + _t("you may not use this file except in compliance with the License")),
-    ("GPL/text-later", "GPL", 85, ("either version",), _t("under the terms of the GNU General Public License as published by the Free Software Foundation") + r"[\s\S]{0,60}?either" + _W + r"version" + _W + r"[123]" + r"[\s\S]{0,60}?any" + _W + r"later" + _W + "version"),
-    ("LGPL/text-later", "LGPL", 85, ("either version",), _t("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation") + r"[\s\S]{0,60}?either" + _W + r"version" + _W + r"(?:2\.1|3)" + r"[\s\S]{0,60}?any" + _W + r"later" + _W + "version"),
-    ("MPL-2.0/text", "MPL-2.0", 90, ("source code form is subject",), _t("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0")),
-    ("Unlicense/text", "Unlicense", 90, ("free and unencumbered software",), _t("This is free and unencumbered software released into the public domain")),
+    ("MIT/text", "MIT", 90, ("permission&is&hereby&granted",), _t("Permission is hereby granted, free of charge, to any person obtaining a copy") + r"[\s\S]{0,1200}?" + _t("THE SOFTWARE IS PROVIDED") + r"[\s\S]{0,20}?AS IS"),
+    ("ISC/text", "ISC", 90, ("permission&to&use,&copy,&modify,",), _t("Permission to use, copy, modify,") + _W + r"and(?:/or)?" + _W + _t("distribute this software for any purpose with or without fee is hereby granted")),
+    ("BSD/redistribution", "BSD", 80, ("redistribution&and&use&in&source",), _t("Redistribution and use in source and binary forms, with or without modification, are permitted")),
+    ("BSD-3-Clause/endorse", "BSD-3-Clause", 80, ("endorse&neither&the&name&of",), _t("Neither the name of") + r"[\s\S]{1,120}?" + _t("may be used to endorse or promote products")),
+    ("BSD-4-Clause/advert", "BSD-4-Clause", 80, ("advertising&all&materials",), _t("All advertising materials mentioning features or use of this software must display")),
+    ("Apache-2.0/text", "Apache-2.0", 90, ("compliance&licensed&apache&you&may&not&use&this&file&except",), r"Licensed" + _W + _t("under the Apache License, Version 2.0") + r"[\s\S]{0,80}?" + _t("you may not use this file except in compliance with the License")),
+    ("GPL/text-later", "GPL", 85, ("foundation&either&version",), _t("under the terms of the GNU General Public License as published by the Free Software Foundation") + r"[\s\S]{0,60}?either" + _W + r"version" + _W + r"[123]" + r"[\s\S]{0,60}?any" + _W + r"later" + _W + "version"),
+    ("LGPL/text-later", "LGPL", 85, ("foundation&either&version",), _t("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation") + r"[\s\S]{0,60}?either" + _W + r"version" + _W + r"(?:2\.1|3)" + r"[\s\S]{0,60}?any" + _W + r"later" + _W + "version"),
+    ("MPL-2.0/text", "MPL-2.0", 90, ("subject&source&code&form&is",), _t("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0")),
+    ("Unlicense/text", "Unlicense", 90, ("unencumbered&free&and&software",), _t("This is free and unencumbered software released into the public domain")),
     ("Zlib/text", "Zlib", 90, ("as-is",), _t("This software is provided 'as-is', without any express or implied warranty") + r"[\s\S]{0,400}?" + _t("The origin of this software must not be misrepresented")),
-    ("BSL-1.0/text", "BSL-1.0", 90, ("boost software license",), _t("Distributed under the Boost Software License, Version 1.0")),
-    ("CC/generic", "CC", 40, ("creative commons",), r"Creative" + _W + r"Commons" + _W + r"(?:Attribution|License|Licence)[\w-]*"),
-    ("GPL/generic", "GPL", 15, ("general public licen",), r"GNU" + _W + r"(?:Lesser" + _W + r"|Library" + _W + r"|Affero" + _W + r")?General" + _W + r"Public" + _W + r"Licen[cs]e"),
+    ("BSL-1.0/text", "BSL-1.0", 90, ("software&boost&license",), _t("Distributed under the Boost Software License, Version 1.0")),
+    ("CC/generic", "CC", 40, ("creative&commons",), r"Creative" + _W + r"Commons" + _W + r"(?:Attribution|License|Licence)[\w-]*"),
+    ("GPL/generic", "GPL", 15, ("general&public&licen",), r"GNU" + _W + r"(?:Lesser" + _W + r"|Library" + _W + r"|Affero" + _W + r")?General" + _W + r"Public" + _W + r"Licen[cs]e"),
     ("BSD/generic", "BSD", 15, ("bsd",), r"(?<![\w-])BSD(?:-style|-like)?" + _W + r"licen[cs]ed?(?![\w-])"),
-    ("Proprietary/all-rights", "Proprietary", 20, ("all rights reserved",), r"All" + _W + r"rights" + _W + r"reserved\.?"),
+    ("Proprietary/all-rights", "Proprietary", 20, ("reserved&all&rights",), r"All" + _W + r"rights" + _W + r"reserved\.?"),
     ("Proprietary/confidential", "Proprietary", 25, ("confidential",), r"(?:proprietary" + _W + r"and" + _W + r"confidential|confidential" + _W + r"and" + _W + r"proprietary)"),
-    ("Proprietary/no-copy", "Proprietary", 25, ("unauthorized copying", "unauthorised copying"), r"Unauthori[sz]ed" + _W + r"copying" + _W + r"of" + _W + r"this" + _W + r"file"),
-    ("PublicDomain/dedication", "PublicDomain", 25, ("public domain",), r"(?:released|placed|dedicated)" + _W + r"(?:in|into|to)" + _W + r"the" + _W + r"public" + _W + r"domain"),
+    ("Proprietary/no-copy", "Proprietary", 25, ("unauthorized&copying", "unauthorised&copying"), r"Unauthori[sz]ed" + _W + r"copying" + _W + r"of" + _W + r"this" + _W + r"file"),
+    ("PublicDomain/dedication", "PublicDomain", 25, ("domain&the&public",), r"(?:released|placed|dedicated)" + _W + r"(?:in|into|to)" + _W + r"the" + _W + r"public" + _W + r"domain"),
     ("Copyright/notice", "Copyright", 10, ("copyright", "©"), r"(?:copyright|©)" + r"(?:\s*(?:\(c\)|©))?\s+(?:\d{4}(?:\s*[-,]\s*\d{4})*,?\s+)?(?:by\s+)?[A-Z][\w.&' -]{1,60}"),
     ("SPDX/other", "Unknown-SPDX", 12, ("spdx-license-identifier",), r"SPDX-License-Identifier:\s*[\w.+()-]+(?:\s+(?:OR|AND|WITH)\s+[\w.+()-]+)*"),
-    ("Licence/see-file", "See-file", 11, ("license file", "licence file", "license.txt", "licence.txt", "license.md"), r"see" + _W + r"(?:the" + _W + r")?(?:accompanying" + _W + r")?(?:LICEN[CS]E(?:\.txt|\.md)?)(?:" + _W + r"file)?"),
-    ("Licence/unknown", "Unknown", 5, ("licensed under", "licenced under"), r"licen[cs]ed" + _W + r"under" + _W + r"[\w .,-]{2,60}"),
+    ("Licence/see-file", "See-file", 11, ("see&licen",), r"see" + _W + r"(?:the" + _W + r")?(?:accompanying" + _W + r")?(?:LICEN[CS]E(?:\.txt|\.md)?)(?:" + _W + r"file)?"),
+    ("Licence/unknown", "Unknown", 5, ("licensed&under", "licenced&under"), r"licen[cs]ed" + _W + r"under" + _W + r"[\w .,-]{2,60}"),
 ]
 
 RULES = _NOTICES + _rules()

@@ -15,6 +15,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,13 +82,13 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id
     rules = RULES if rules is None else rules
     holder: list[Scanner] = []
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    low, gate = F.lower("t"), F.lit(False)
-    for k in roots(rules):
-        gate = gate | F.contains(low, F.lit(k))
+    # one automaton of all roots passes over the text once
+    gate = "|".join(re.escape(k) for k in roots(rules))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         if not holder:
             holder.append(Scanner(rules))
+        b = b.filter(pc.match_substring_regex(b.column(1), gate, ignore_case=True))
         cols: list[list] = [[] for _ in range(7)]
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for s, e, p, r in holder[0](t):
@@ -96,4 +97,4 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id
         types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "license", "rule", "priority", "begin", "end", "matched"])
 
-    return map_slices(d.where(gate), run, SCHEMA, 256)
+    return map_slices(d.where("t is not null"), run, SCHEMA, 256)

@@ -80,6 +80,47 @@ def test_license_prefilter_never_hides_a_match_and_containment():
     assert license_scan.suppress([(0, 9, 5, 0), (2, 5, 9, 1), (8, 12, 5, 2)]) == [(2, 5, 9, 1), (8, 12, 5, 2)]
 
 
+def _sample(tree, rng):
+    """A text that a parsed pattern may match (look-arounds apart), with the longest gaps at random."""
+    out = []
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                out.append(chr(arg))
+            case "ANY" | "NOT_LITERAL":
+                out.append("x")
+            case "IN":
+                out.append(rng.choice([x for o, a in arg for x in ([chr(a)] if str(o) == "LITERAL" else [chr(a[0]), chr(a[1])] if str(o) == "RANGE" else [{"CATEGORY_SPACE": "\n", "CATEGORY_DIGIT": "7", "CATEGORY_WORD": "x"}.get(str(a), "x")] if str(o) == "CATEGORY" else ["x"])]))
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += [_sample(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2)))]
+            case "SUBPATTERN":
+                out.append(_sample(arg[3], rng))
+            case "BRANCH":
+                out.append(_sample(rng.choice(arg[1]), rng))
+    return "".join(out)
+
+
+def test_license_prefilter_passes_every_rule_on_wrapped_commented_texts():
+    import random
+    import re
+
+    rng = random.Random(4)
+    s = license_scan.Scanner(license_scan.RULES)
+    gate = license_scan.roots(license_scan.RULES)
+    for i, rule in enumerate(license_scan.RULES):
+        tree, seen = re._parser.parse(rule.pattern, re.IGNORECASE), 0
+        for _ in range(12):
+            t = "\n" + _sample(tree, rng) + "\n"
+            if not s.regex[i].search(t):
+                continue
+            seen += 1
+            words = {k for _, k in s.auto.iter(t.lower())}
+            assert any(k <= words for k in s.needs[i]) and any(k in t.lower() for k in gate), (rule.name, t)
+        assert seen, rule.name
+    for t, name in (("/* Permission is\n * hereby granted, free of charge, to any person\n * obtaining a copy.\n * THE SOFTWARE  IS\n * PROVIDED \"AS IS\" */", "MIT/text"), ("All rights\nreserved", "Proprietary/all-rights"), ("placed in the public\n# domain", "PublicDomain/dedication")):
+        assert [license_scan.RULES[x[3]].name for x in s(t)] == [name]
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=40))
 def test_packing_keeps_every_piece_within_capacity(sizes):
