@@ -1,12 +1,14 @@
 """Operator 1: line dedup by pairwise alignment.
 
-1. Every line is hashed (white space at its ends apart).  A line of at least `anchor_words` words is rare by its content;
-   it is an anchor if more than one document has it.
+1. Every line is hashed (white space at its ends apart).  Anchors are the lines of at least `anchor_words` words, and the windows: from each
+   line the fewest lines of at least `block_words` words together, blank ones apart.  An anchor counts if more than one document has it.
 2. For each anchor the first document that holds it (smallest id) is paired with every later one.  This star needs no
    limit on how many documents share a line: pairs grow with the occurrences, not with their square.
 3. Each pair is aligned with patience diff: lines that are unique in both and common to both, their longest increasing
    run, then the same between neighbours, ends extended line by line.
-4. Aligned lines of all earlier partners form runs in the later document (blank lines join a run); a run of at least
+4. A window that an earlier document has is shared whatever the alignment: every run of whole lines of at least `block_words` words that any
+   earlier document holds line by line begins with one.
+5. Shared lines and aligned lines of all earlier partners form runs in the later document (blank lines join a run); a run of at least
    `block_words` words is deleted from it.  The earlier document keeps its text.
 
 Defined results: rows whose id or text is null are returned as they are, with 0 lines removed.  An empty text has no
@@ -100,16 +102,44 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("i", "t", F.xxhash64("t").alias("h")).mapInArrow(run, "i long, h long, hs array<long>, ws array<int>")
 
 
+def windows(hs: list[int], ws: list[int], block_words: int) -> list[tuple[int, int, int]]:
+    """(hash, first line, line after the last) of the fewest lines from each one that have block_words words, blank ones apart."""
+    import xxhash
+
+    on = [k for k, w in enumerate(ws) if w]
+    out, e, words = [], 0, 0
+    for s, k in enumerate(on):
+        while e < len(on) and words < block_words:
+            words += ws[on[e]]
+            e += 1
+        if words < block_words:
+            break
+        key = hs[k] if e == s + 1 else xxhash.xxh3_64_intdigest(b"".join(hs[x].to_bytes(8, "little", signed=True) for x in on[s:e])) - (1 << 63)
+        out.append((key, k, on[e - 1] + 1))
+        words -= ws[k]
+    return out
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = 8, block_words: int = 20) -> DataFrame:
     """(i, h, gone): the line numbers that each document (by id and hash of the text) loses."""
     seqs = written(_lines(docs, id_col, text_col), "lines").dropDuplicates(["i", "h"])
-    occ = (
-        seqs.select("i", "h", F.explode(F.arrays_zip("hs", "ws")).alias("x"))
-        .where(F.col("x.ws") >= anchor_words)
-        .select(F.col("x.hs").alias("line"), F.struct("i", "h").alias("d"))
-    )
+
+    def anchors(batches):
+        for b in batches:
+            cols: list[list] = [[] for _ in range(5)]
+            for i, h, hs, ws in zip(*(c.to_pylist() for c in b.columns)):
+                found = windows(hs, ws, block_words)
+                seen = {x for x, _, _ in found}
+                for x, s, e in found + [(x, 0, 0) for x, w in zip(hs, ws) if w >= anchor_words and x not in seen]:
+                    for c, v in zip(cols, (x, i, h, s, e)):
+                        c.append(v)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["line", "i", "h", "s", "e"])
+
+    occ = seqs.select("i", "h", "hs", "ws").mapInArrow(anchors, "line long, i long, h long, s int, e int").select("line", F.struct("i", "h").alias("d"), "s", "e")
     first = occ.groupBy("line").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first != last").select("line", "first")
-    pairs = occ.join(first, "line").where("d != first").select("first", "d").distinct()
+    shared = written(occ.join(first, "line").where("d != first").select("first", "d", "s", "e"), "shared")
+    pairs = shared.select("first", "d").distinct()
     one = seqs.select(F.struct("i", "h").alias("first"), F.col("hs").alias("a"))
     two = seqs.select(F.struct("i", "h").alias("d"), F.col("hs").alias("b"), "ws")
     both = pairs.join(one, "first").join(two, "d").select("d", "a", "b", "ws")
@@ -122,7 +152,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", an
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32())), b.column(3), b.column(2)], ["d", "hit", "ws", "b"])
 
     hits = both.mapInArrow(align, "d struct<i:long,h:long>, hit array<int>, ws array<int>, b array<long>")
-    merged = hits.groupBy("d").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.first("ws").alias("ws"))
+    whole = shared.where("e > s").select("d", F.sequence("s", F.col("e") - 1).alias("hit"), F.lit(None).cast("array<int>").alias("ws"))
+    merged = hits.select("d", "hit", "ws").unionByName(whole).groupBy("d").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.first("ws", ignorenulls=True).alias("ws"))
 
     def runs(batches):
         for b in batches:
@@ -182,6 +213,16 @@ def brute_force(rows: list[tuple[int | None, str | None]], anchor_words: int = 8
             a = [x.strip() for x in lines[m]]
             ids = {x: k for k, x in enumerate(dict.fromkeys(a + b))}
             hit |= {q for _, q in patience([ids[x] for x in a], [ids[x] for x in b]) if b[q]}
+        on = [q for q, x in enumerate(b) if x]
+        for m in [m for m in range(len(rows)) if rows[m][0] is not None and rows[m][1] and rows[m][0] < i]:
+            a = [x.strip() for x in lines[m] if x.strip()]
+            for p in range(len(a)):
+                for q in range(len(on)):
+                    k = 0
+                    while p + k < len(a) and q + k < len(on) and a[p + k] == b[on[q + k]]:
+                        k += 1
+                    if sum(len(x.split()) for x in a[p : p + k]) >= block_words:
+                        hit |= set(on[q : q + k])
         words = [len(x.split()) for x in b]
         gone: set[int] = set()
         run: list[int] = []

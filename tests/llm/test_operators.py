@@ -48,6 +48,19 @@ def test_line_dedup_equals_brute_force(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_finds_blocks_of_short_lines_and_behind_a_first_holder(spark):
+    rng = random.Random(8)
+    verse = [_line(rng, 6) + f" v{k}" for k in range(10)]
+    a, b = [_line(rng, 12) + f" p{k}" for k in range(2)]
+    rows = [
+        (1, "\n".join(["one", *verse, "first"])), (2, "\n".join(["two", *verse[:5], "", *verse[5:], "second"])),
+        (3, f"{b}\nother\n{a}"), (4, f"left\n{a}\n{b}\nright"), (5, f"far\n{a}\n{b}\nnear"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(_frame(spark, rows)).collect()}
+    assert got == dict(rows) | {2: "two\nsecond", 5: "far\nnear"}
+    assert line_dedup.brute_force(rows) == [got[i] for i, _ in rows]
+
+
 def test_line_dedup_takes_copies_alike_and_leaves_the_first(docs):
     got = {(r["doc_id"], r["lines_removed"]) for r in line_dedup.dedup_lines(docs).where("doc_id in (0, 40, 41)").collect()}
     assert got == {(0, 0), (40, 3), (41, 3)}
