@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -470,15 +472,19 @@ def decode_column(media: DataFrame, id_col: str = "id", bytes_col: str = "jpeg")
     return map_slices(media.select(F.col(id_col).cast("long").alias("id"), F.col(bytes_col).cast("binary").alias("jpeg")), run, SCHEMA, 64)
 
 
-def picture(vector: np.ndarray, side: int = 16) -> np.ndarray:
-    """An RGB image of side x side that a vector determines: three channels of its values, smoothly enlarged."""
-    v = np.resize(np.nan_to_num(vector.astype(float)), 48)
+def picture(vector: np.ndarray) -> np.ndarray:
+    """An RGB image that all values of a vector determine: three channels of a square grid of them, smoothly enlarged.
+    Up to 48 values make 16 x 16 pixels; more make a grid of g x g and 8g - 3 by 8g + 5 pixels, several MCUs with padded edges."""
+    g = max(4, math.ceil(math.sqrt(len(vector) / 3)))
+    v = np.resize(np.nan_to_num(vector.astype(float)), 3 * g * g)
     lo, hi = v.min(), v.max()
-    g = ((v - lo) / (hi - lo or 1) * 255).reshape(4, 4, 3)
-    at = np.linspace(0, 3, side)
-    i, f = np.minimum(at.astype(int), 2), at - np.minimum(at.astype(int), 2)
-    rows = g[i] * (1 - f)[:, None, None] + g[i + 1] * f[:, None, None]
-    out = rows[:, i] * (1 - f)[None, :, None] + rows[:, i + 1] * f[None, :, None]
+    grid = ((v - lo) / (hi - lo or 1) * 255).reshape(g, g, 3)
+    height, width = (16, 16) if g == 4 else (8 * g - 3, 8 * g + 5)
+    y, x = np.linspace(0, g - 1, height), np.linspace(0, g - 1, width)
+    i, k = np.minimum(y.astype(int), g - 2), np.minimum(x.astype(int), g - 2)
+    f, e = (y - i)[:, None, None], (x - k)[None, :, None]
+    rows = grid[i] * (1 - f) + grid[i + 1] * f
+    out = rows[:, k] * (1 - e) + rows[:, k + 1] * e
     return np.rint(out).astype(np.uint8)
 
 

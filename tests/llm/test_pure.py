@@ -156,6 +156,18 @@ def test_jpeg_round_trip(h, w, sub):
     assert out.shape == img.shape and np.abs(out.astype(int) - img).mean() < (12 if sub else 2)
 
 
+def test_jpeg_picture_of_a_vector_holds_all_values_in_several_mcus():
+    v = np.linspace(-1, 1, 64)
+    whole = progressive_jpeg.picture(v)
+    assert whole.shape == (37, 45, 3) and progressive_jpeg.picture(v[:40]).shape == (16, 16, 3)
+    for k in range(1, 63):
+        w = v.copy()
+        w[k] = -v[k]
+        assert (progressive_jpeg.picture(w) != whole).any()
+    out = progressive_jpeg.decode(progressive_jpeg.encode(whole))
+    assert out.shape == whole.shape and np.abs(out.astype(int) - whole).mean() < 25
+
+
 def test_jpeg_damage_is_reported():
     data = progressive_jpeg.encode(np.full((20, 20, 3), 100, np.uint8))
     for bad in (b"", b"xx", data[:60], data[:-2], data[: len(data) // 2]):
