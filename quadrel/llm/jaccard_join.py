@@ -1,26 +1,24 @@
-"""Operator 5: n-gram Jaccard join: groups of documents linked by a Jaccard similarity of at least `threshold`.
-
-A document is its set of hashed word n-grams.  All sets share one order: n-grams that a document-frequency sketch over all
-documents holds for common come last, equals go by hash.  A pair that reaches the threshold shares one of the first
-|x| - ceil(threshold |x|) + 1 n-grams of both sets, whatever the order, so
-
-1. every such n-gram is a tile key; tiles are cut in bands of set size (neighbouring bands meet), since sizes that differ by more than the
-   threshold can't match;
-2. each tile and band offers the pairs of its leader with the others (a star), and each document takes, of its stars, the one
-   with which it shares the most tiles; these pairs are compared exactly and linked documents get a common component;
-3. of every tile that still holds documents of more than one component, each document outside the largest one is bounded against all documents
-   of other components by bit counts of the bitmaps, and offered, for each other component, the document there with the best bound (tiles are
-   taken by buckets, a bucket offers once); offered pairs are compared exactly, and step 3 is repeated until it gives no new link; then
-   every pair between components that the bitmaps don't rule out is offered once;
-4. a comparison bounds the overlap from above by the bits of hashed bitmap signatures first, then sorted-array
-   intersection gets it exactly.
-
-Every link is exact, and every pair that shares a tile is compared, ruled out by a bound or within one component, so the components are exact but for collisions of
-hashes.  Only pairs within a component are spared; members of other components that the bitmaps don't rule out are all paid for.
-
-Defined results: null ids, null texts and texts without words are in no group.  Rows with the same id are one document (the
-row with the smallest text hash).  Texts with fewer than n words have one n-gram, all their words.  Equal sets have similarity 1.  The group's id is its
-smallest doc_id.  An empty table gives no groups.  Only the id and text columns are read.
+"""Operator 5: n-gram Jaccard join of documents at a Jaccard similarity of at least `threshold`.
+
+A document is its set of word n-grams (40-bit hashes); documents of equal sets are one class, told by 128 bits of hash, and classes
+are what is joined.  All sets share one order: n-grams that a document-frequency sketch over all documents holds for common come last,
+equals go by hash.  A pair that reaches the threshold shares one of the first |x| - ceil(threshold |x|) + 1 n-grams of both
+sets, whatever the order, and at its first common n-gram neither set has fewer n-grams left than the overlap needs.  So
+
+1. every such n-gram is a tile; within a tile two classes are a candidate if their sizes and the n-grams left at their positions allow it;
+2. each tile and size band offers its leader to the others; every class takes the leader with which it shares the most tiles, if
+   the bit counts of the hashed bitmap signatures don't rule it out.  Classes so connected form families: nothing depends on whether they are alike;
+3. within a family all pairs are compared, in blocks: sizes first, then the bound by bitmaps, then exact sorted-array intersection.  A large
+   family is cut into blocks by size band and hash, and only blocks of neighbouring bands meet, so a task holds two blocks whatever the family's size;
+4. candidates of a tile that belong to different families are bounded by bitmaps and those that are left compared exactly.  A tile of very many
+   documents is cut into blocks too.
+
+Every pair of different sets is therefore compared exactly or ruled out by a bound: no link is missed, but for collisions of hashes.  Pairs
+within a family are counted where they are compared and never listed; what leaves a block is each class's number of links and a forest that connects them.
+
+Defined results: null ids, null texts and texts without words are in no group.  Rows with the same id and text are one document; rows with the same
+id and different texts are different documents.  Texts with fewer than n words have one n-gram, all their words.  Equal sets have similarity 1.  A group's id is its
+smallest doc_id.  An empty table gives no groups.  Only the id (an integer) and text columns are read.
 """
 
 from __future__ import annotations
@@ -33,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, free_name, written
 
 MASK40 = np.uint64((1 << 40) - 1)
+CHUNK = 1 << 16
 _ALNUM = None
 
-
 def _alnum() -> np.ndarray:
     global _ALNUM
     if _ALNUM is None:
@@ -95,21 +93,8 @@ def _sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null and length(t) > 0")
-
-
-def gram_sets(rows: DataFrame, n: int) -> DataFrame:
-    """(i, lo, hi): each document's n-grams, 40-bit hashes in 4 + 1 bytes; documents without words are left out."""
-
-    def run(batches):
-        for b in batches:
-            for s in range(0, b.num_rows, 128):
-                part = b.slice(s, 128)
-                g, size = _sets(part.column(1).to_pylist(), n)
-                lo, hi, off = (g & np.uint64(0xFFFFFFFF)).astype(np.uint32), (g >> np.uint64(32)).astype(np.uint8), np.r_[0, np.cumsum(size)]
-                yield pa.RecordBatch.from_arrays([part.column(0), _chunks(lo, off), _chunks(hi, off)], ["i", "lo", "hi"]).filter(pa.array(size > 0))
-
-    return rows.mapInArrow(run, "i long, lo binary, hi binary")
+    i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    return docs.select(i.alias("i"), F.xxhash64(t).alias("th"), t.alias("t")).where("i is not null and t is not null and length(t) > 0")
 
 
 def _chunks(x: np.ndarray, off: np.ndarray) -> pa.Array:
@@ -117,44 +102,95 @@ def _chunks(x: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-def _unpack(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of all rows in turn, and how many each row has."""
-    lo, hi = b.column(1), b.column(2)
-    size = np.diff(np.frombuffer(hi.buffers()[1], np.int32)[hi.offset : hi.offset + len(hi) + 1])
-    raw = lambda c, t: np.frombuffer(c.buffers()[2], np.uint8)[(o := np.frombuffer(c.buffers()[1], np.int32))[c.offset] : o[c.offset + len(c)]].copy().view(t)
-    return (raw(hi, np.uint8).astype(np.uint64) << np.uint64(32)) | raw(lo, np.uint32), size.astype(np.int64)
+def _set_hashes(g: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of each set, as two longs."""
+    import xxhash
 
+    raw, off = memoryview(np.ascontiguousarray(g).view(np.uint8)), np.r_[0, np.cumsum(size)] * 8
+    both = b"".join(xxhash.xxh3_128_digest(raw[a:e]) for a, e in zip(off.tolist(), off[1:].tolist()))
+    h = np.frombuffer(both, np.int64).reshape(-1, 2)
+    return h[:, 0], h[:, 1]
 
-def frequency_sketch(sets: DataFrame, bits: int) -> np.ndarray:
-    """How many documents have n-grams of each hash bucket: 2 ** bits counters, over all documents."""
-    chunk = 1 << 16
+
+def heads(rows: DataFrame, n: int, bits: int) -> DataFrame:
+    """(i, th, h1, h2) of every document with words, and (k, c, p): packed counters of the document-frequency sketch, 2 ** bits for each task p."""
 
     def run(batches):
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for b in batches:
-            if b.num_rows:
-                total += np.bincount((_unpack(b)[0] >> np.uint64(40 - bits)).astype(np.int64), minlength=1 << bits)
-        for k in range(0, 1 << bits, chunk):
-            part = total[k : k + chunk]
+            for s in range(0, b.num_rows, 128):
+                part = b.slice(s, 128)
+                g, size = _sets(part.column(2).to_pylist(), n)
+                np.add.at(total, (g >> np.uint64(40 - bits)).astype(np.int64), 1)
+                h1, h2 = _set_hashes(g, size)
+                m = len(size)
+                out = [part.column(0), part.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, ["i", "th", "h1", "h2", "k", "c"]).filter(pa.array(size > 0))
+        for k in range(0, 1 << bits, CHUNK):
+            part = total[k : k + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(part.astype(np.int32).tobytes(), 1)], pa.binary())], ["k", "c"])
+                null = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["i", "th", "h1", "h2", "k", "c"])
+
+    return rows.mapInArrow(run, "i long, th long, h1 long, h2 long, k int, c binary").withColumn("p", F.spark_partition_id())
+
+
+def frequency_sketch(parts: DataFrame, bits: int) -> np.ndarray:
+    """The sketch of all tasks, added by trees of 64, so that no task gets more than 64 parts of CHUNK counters."""
 
-    def add(left: pa.Table) -> pa.Table:
-        c = sum(np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in left["c"].to_pylist())
-        return pa.table({"k": left["k"].combine_chunks()[:1], "c": pa.array([zlib.compress(c.tobytes(), 1)], pa.binary())})
+    def add(t: pa.Table) -> pa.Table:
+        c = sum(np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in t["c"].to_pylist())
+        return pa.table({"k": t["k"].combine_chunks()[:1], "c": pa.array([zlib.compress(np.minimum(c, (1 << 31) - 1).astype(np.int32).tobytes(), 1)], pa.binary()), "p": t["p"].combine_chunks()[:1]})
 
+    left = (parts.agg(F.max("p")).first()[0] or 0) + 1
+    while True:
+        left = -(-left // 64)
+        parts = parts.withColumn("p", F.expr("cast(p div 64 as int)")).groupBy("k", "p").applyInArrow(add, "k int, c binary, p int")
+        if left == 1:
+            break
     out = np.zeros(1 << bits, np.int64)
-    for r in sets.mapInArrow(run, "k long, c binary").groupBy("k").applyInArrow(add, "k long, c binary").collect():
-        c = np.frombuffer(zlib.decompress(r["c"]), np.int64)
+    for r in parts.select("k", "c").collect():  # 2 ** bits counters, whatever the number of documents
+        c = np.frombuffer(zlib.decompress(r["c"]), np.int32)
         out[r["k"] : r["k"] + len(c)] = c
     return out
 
 
 def levels(sketch: np.ndarray) -> np.ndarray:
-    """Order of the buckets: 0 for what chance explains (few documents beyond the mean), then one more for each doubling; at most 31."""
+    """Order of the buckets: 0 for what chance explains (few documents beyond the mean), then one more for each quarter of a doubling."""
     mean = float(sketch.mean())
-    over = np.maximum(sketch - mean - 3 * math.sqrt(mean), 0) / 16
-    return np.minimum(np.ceil(np.log2(np.maximum(over, 1))), 31).astype(np.uint8)
+    over = np.maximum(sketch - mean - 3 * math.sqrt(mean), 0)
+    return np.where(over > 0, np.minimum(1 + np.floor(4 * np.log2(np.maximum(over, 1))), 255), 0).astype(np.uint8)
+
+
+def class_sets(rows: DataFrame, n: int) -> DataFrame:
+    """(h1, h2, z, sig, lo, hi): one row for each different set: its size, bitmap and n-grams, 40-bit hashes in 4 + 1 bytes."""
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()  # copies within a task go before the shuffle
+        for b in batches:
+            for s in range(0, b.num_rows, 128):
+                g, size = _sets(b.column(0).slice(s, 128).to_pylist(), n)
+                h1, h2 = _set_hashes(g, size)
+                lo, hi, off = (g & np.uint64(0xFFFFFFFF)).astype(np.uint32), (g >> np.uint64(32)).astype(np.uint8), np.r_[0, np.cumsum(size)]
+                new = np.zeros(len(size), bool)
+                for k, key in enumerate(zip(h1.tolist(), h2.tolist())):
+                    if size[k] and key not in seen:
+                        new[k] = True
+                        if len(seen) < 100_000:
+                            seen.add(key)
+                sig = [signature(lo[a:e]).tobytes() if w else b"" for a, e, w in zip(off, off[1:], new)]
+                out = [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), _chunks(lo, off), _chunks(hi, off)]
+                yield pa.RecordBatch.from_arrays(out, ["h1", "h2", "z", "sig", "lo", "hi"]).filter(pa.array(new))
+
+    each = rows.select("t").mapInArrow(run, "h1 long, h2 long, z int, sig binary, lo binary, hi binary")
+    return each.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("z", "sig", "lo", "hi")])
+
+
+def _unpack(lo: pa.Array, hi: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of all rows in turn, and how many each row has."""
+    size = np.diff(np.frombuffer(hi.buffers()[1], np.int32)[hi.offset : hi.offset + len(hi) + 1])
+    raw = lambda c, t: np.frombuffer(c.buffers()[2], np.uint8)[(o := np.frombuffer(c.buffers()[1], np.int32))[c.offset] : o[c.offset + len(c)]].copy().view(t)
+    return (raw(hi, np.uint8).astype(np.uint64) << np.uint64(32)) | raw(lo, np.uint32), size.astype(np.int64)
 
 
 def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -166,8 +202,19 @@ def band_of(size: np.ndarray, threshold: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / -np.log(threshold) + 1e-9).astype(np.int64)
 
 
-def tiles(sets: DataFrame, order, bits: int, threshold: float, buckets: int) -> DataFrame:
-    """(bucket, keys, at, ids, sizes, ranks): packed prefix n-grams, and their documents with set size and share of common n-grams."""
+def _need(x, y, threshold: float):
+    """Least overlap of sets of sizes x and y that reach the threshold."""
+    return np.ceil(threshold / (1 + threshold) * (x + y) - 1e-9)
+
+
+def _hot_blocks(level: np.ndarray, block: int) -> np.ndarray:
+    """Into how many blocks a tile is cut, by the level of its n-gram: its count is below 2 ** (level / 4) beyond the mean."""
+    return np.maximum(1, np.ceil(2.0 ** (level.astype(float) / 4) / block)).astype(np.int64)
+
+
+def tiles(sets: DataFrame, order, bits: int, threshold: float, buckets: int, block: int) -> DataFrame:
+    """(bucket, keys, at, place, ids, sizes, ranks): packed prefix n-grams with their positions, and their sets with size and share of common n-grams.
+    Sets of a tile that may be larger than `block` go to several buckets."""
 
     def run(batches):
         level = order.value
@@ -175,61 +222,97 @@ def tiles(sets: DataFrame, order, bits: int, threshold: float, buckets: int) ->
             for s in range(0, b.num_rows, 4096):
                 part = b.slice(s, 4096)
                 ids = part.column(0).to_numpy()
-                g, size = _unpack(part)
+                g, size = _unpack(part.column(1), part.column(2))
                 lv = level[(g >> np.uint64(40 - bits)).astype(np.int64)].astype(np.uint64)
                 doc = np.repeat(np.arange(len(ids), dtype=np.uint64), size)
                 rank = np.bincount(doc.astype(np.int64), lv > 0, len(ids)) * 255 / np.maximum(size, 1)
-                x = np.sort((doc << np.uint64(45)) | (lv << np.uint64(40)) | g)
+                x = np.sort((doc << np.uint64(48)) | (lv << np.uint64(40)) | g)
                 place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
-                x = x[place < np.repeat(prefix_length(size, threshold), size)]
-                k, d = x & MASK40, (x >> np.uint64(45)).astype(np.int64)
-                of = (k % np.uint64(buckets)).astype(np.int64)
+                ahead = place < np.repeat(prefix_length(size, threshold), size)
+                x, place = x[ahead], place[ahead]
+                k, d = x & MASK40, (x >> np.uint64(48)).astype(np.int64)
+                # positions in 16 bits, rounded down for sets of more than 65,535
+                place = place >> _shift(size)[d]
+                cut_in = _hot_blocks((x >> np.uint64(40)).astype(np.int64) & 255, block)
+                salt = np.where(cut_in > 1, (_mix(ids.astype(np.uint64))[d] % cut_in.astype(np.uint64)).astype(np.int64), 0)
+                of = ((k + salt.astype(np.uint64) * np.uint64(0x9E3779B1)) % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(of, kind="stable")
-                k, d, of = k[by], d[by], of[by]
+                k, d, of, place = k[by], d[by], of[by], place[by]
                 cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in range(7)]
                 for a, e in zip(cut, np.r_[cut[1:], len(of)] if len(of) else []):
-                    # documents are numbered within the row: an entry takes 5 + 2 bytes
+                    # sets are numbered within the row: an entry takes 5 + 2 + 2 bytes
                     own, at = np.unique(d[a:e], return_inverse=True)
                     kk = k[a:e]
                     key = (kk & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (kk >> np.uint64(32)).astype(np.uint8).tobytes()
-                    for c, v in zip(out, (int(of[a]), key, at.astype(np.uint16).tobytes(), ids[own].tobytes(), size[own].astype(np.int32).tobytes(), rank[own].astype(np.uint8).tobytes())):
+                    for c, v in zip(out, (int(of[a]), key, at.astype(np.uint16).tobytes(), place[a:e].astype(np.uint16).tobytes(), ids[own].tobytes(), size[own].astype(np.int32).tobytes(), rank[own].astype(np.uint8).tobytes())):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "keys", "at", "ids", "sizes", "ranks"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "keys", "at", "place", "ids", "sizes", "ranks"])
 
-    return sets.mapInArrow(run, "bucket int, keys binary, at binary, ids binary, sizes binary, ranks binary")
+    return sets.select("u", "lo", "hi").mapInArrow(run, "bucket int, keys binary, at binary, place binary, ids binary, sizes binary, ranks binary")
 
 
-def _members(t: pa.Table) -> tuple[np.ndarray, ...]:
-    """Entries of one bucket in tile order: key, id, size, rank; only of tiles with several documents."""
-    cols: list[list] = [[], [], [], []]
-    for key, a, i, z, r in zip(*(t[c].to_pylist() for c in ("keys", "at", "ids", "sizes", "ranks"))):
+def _shift(size: np.ndarray) -> np.ndarray:
+    return np.maximum(np.ceil(np.log2(np.maximum(size, 1) + 1)).astype(np.int64) - 16, 0)
+
+
+def _members(t: pa.Table, order, bits: int, block: int) -> tuple[np.ndarray, ...]:
+    """Entries of one bucket in tile order: n-gram, set, size, rank, n-grams left; of tiles with several sets, and of tiles that other buckets have too."""
+    cols: list[list] = [[] for _ in range(5)]
+    for key, a, pl, i, z, r in zip(*(t[c].to_pylist() for c in ("keys", "at", "place", "ids", "sizes", "ranks"))):
         at = np.frombuffer(a, np.uint16)
         n = len(at)
         k = np.frombuffer(key[: 4 * n], np.uint32).astype(np.uint64) | (np.frombuffer(key[4 * n :], np.uint8).astype(np.uint64) << np.uint64(32))
-        for c, v in zip(cols, (k, np.frombuffer(i, np.int64)[at], np.frombuffer(z, np.int32)[at], np.frombuffer(r, np.uint8)[at])):
+        z = np.frombuffer(z, np.int32).astype(np.int64)
+        rest = z[at] - (np.frombuffer(pl, np.uint16).astype(np.int64) << _shift(z)[at])
+        for c, v in zip(cols, (k, np.frombuffer(i, np.int64)[at], z[at], np.frombuffer(r, np.uint8)[at], rest)):
             c.append(v)
-    k, d, z, r = (np.concatenate(c) for c in cols)
+    k, d, z, r, rest = (np.concatenate(c) for c in cols)
     by = np.lexsort((d, k))
-    k, d, z, r = k[by], d[by], z[by], r[by]
-    new = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
-    k, d, z, r = k[new], d[new], z[new], r[new]
-    tile = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1
-    several = np.bincount(tile)[tile] > 1
-    return k[several], d[several], z[several], r[several]
+    k, d, z, r, rest = k[by], d[by], z[by], r[by], rest[by]
+    n = np.diff(np.r_[np.flatnonzero(np.r_[True, k[1:] != k[:-1]]), len(k)])
+    several = np.repeat(n > 1, n) | (_hot_blocks(order.value[(k >> np.uint64(40 - bits)).astype(np.int64)], block) > 1)
+    return k[several], d[several], z[several], r[several], rest[several]
+
+
+def _meet(x, y, z, rest, threshold: float) -> np.ndarray:
+    """Whether entries x and y of one tile are a candidate: by their sizes and by the n-grams left."""
+    zx, zy = z[x], z[y]
+    return (np.minimum(zx, zy) >= threshold * np.maximum(zx, zy) - 1e-9) & (np.minimum(rest[x], rest[y]) >= _need(zx, zy, threshold))
+
+
+def _met(start: np.ndarray, n: np.ndarray, z: np.ndarray, rest: np.ndarray, threshold: float, most: int = 64) -> np.ndarray:
+    """Which entries of tiles (start, length) have a candidate; in tiles of more than `most` sets, which aren't looked at, all count."""
+    out = np.zeros(len(z), bool)
+    out[np.repeat(n > most, n)] = True
+    for m in np.unique(n[(n > 1) & (n <= most)]).tolist():
+        i, j = np.triu_indices(m, 1)
+        t = start[n == m]
+        for at in range(0, len(t), max(1, 1_000_000 // len(i))):
+            s = t[at : at + max(1, 1_000_000 // len(i))]
+            x, y = (s[:, None] + i).ravel(), (s[:, None] + j).ravel()
+            ok = _meet(x, y, z, rest, threshold)
+            out[x[ok]] = out[y[ok]] = True
+    return out
 
 
-STARS = "a long, b long, n int, docs array<long>, sizes array<int>, ranks array<int>"
+FOUND = "a long, b long, n int, g long, u long, z int, rest int"
 
 
-def stars(packed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of the leader of a tile and band with its other documents, and in how many tiles; and the tiles of several documents.
-    The leader is the document most of whose n-grams are common (the least changed of many copies), then the one of the smallest id."""
+def stars(packed: DataFrame, order, bits: int, threshold: float, block: int) -> DataFrame:
+    """Pairs (a, b) of the leader of a tile and band with its other sets, and in how many tiles (n); and the entries (g, u, z, rest) of tiles that have
+    candidates.  The leader is the set most of whose n-grams are common (the least changed of many copies), then the one of the smallest number."""
 
     def run(t: pa.Table) -> pa.Table:
-        k, d, z, r = _members(t)
+        k, d, z, r, rest = _members(t, order, bits, block)
+        if len(k):
+            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            n = np.diff(np.r_[start, len(k)])
+            hot = _hot_blocks(order.value[(k >> np.uint64(40 - bits)).astype(np.int64)], block) > 1
+            on = hot | _met(start, n, z, rest, threshold)
+            k, d, z, r, rest = k[on], d[on], z[on], r[on], rest[on]
         if not len(k):
-            return pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("ranks", pa.list_(pa.int32()))]).empty_table()
+            return pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("g", pa.int64()), ("u", pa.int64()), ("z", pa.int32()), ("rest", pa.int32())]).empty_table()
         band = band_of(z, threshold)
         by = np.lexsort((d, 255 - r, band, k))
         first = np.flatnonzero(np.r_[True, (k[by][1:] != k[by][:-1]) | (band[by][1:] != band[by][:-1])])
@@ -237,22 +320,13 @@ def stars(packed: DataFrame, threshold: float) -> DataFrame:
         lead, lead_z = np.repeat(d[by][first], size), np.repeat(z[by][first], size)
         fits = (lead != d[by]) & (np.minimum(z[by], lead_z) >= threshold * np.maximum(z[by], lead_z) - 1e-9)
         ab, n = np.unique(np.stack([lead[fits], d[by][fits]], 1), axis=0, return_counts=True)
-        # tiles of all bands by their members, each list once
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        lists, seen = [], set()
-        for f, s in zip(first.tolist(), np.diff(np.r_[first, len(k)]).tolist()):
-            if (h := d[f : f + s].tobytes()) not in seen:
-                seen.add(h)
-                lists.append((f, s))
-        flat = np.concatenate([np.arange(f, f + s) for f, s in lists])
-        m, o = len(ab), len(lists)
-        off = pa.array(np.r_[np.zeros(m), np.cumsum([0] + [s for _, s in lists])].astype(np.int32))
+        m, o = len(ab), len(k)
         none = np.r_[np.ones(m, bool), np.zeros(o, bool)]
-        as_list = lambda v, t: pa.ListArray.from_arrays(off, pa.array(v[flat], t), mask=pa.array(none))
-        pair = lambda v: pa.array(np.r_[v, np.zeros(o, np.int64)], pa.int64(), mask=~none)
-        return pa.table({"a": pair(ab[:, 0]), "b": pair(ab[:, 1]), "n": pa.array(np.r_[n, np.zeros(o)].astype(np.int32)), "docs": as_list(d, pa.int64()), "sizes": as_list(z, pa.int32()), "ranks": as_list(r.astype(np.int32), pa.int32())})
+        pair = lambda v, t: pa.array(np.r_[v, np.zeros(o, np.int64)], t, mask=~none)
+        entry = lambda v, t: pa.array(np.r_[np.zeros(m, np.int64), v.astype(np.int64)], t, mask=none)
+        return pa.table({"a": pair(ab[:, 0], pa.int64()), "b": pair(ab[:, 1], pa.int64()), "n": pair(n, pa.int32()), "g": entry(k, pa.int64()), "u": entry(d, pa.int64()), "z": entry(z, pa.int32()), "rest": entry(rest, pa.int32())})
 
-    return packed.groupBy("bucket").applyInArrow(run, STARS)
+    return packed.groupBy("bucket").applyInArrow(run, FOUND)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -260,210 +334,264 @@ def signature(s: np.ndarray) -> np.ndarray:
     words = 1 << max(0, math.ceil(math.log2(max(len(s), 1) / 32)))
     on = np.zeros(64 * words, np.uint8)
     on[(s * np.uint32(0x9E3779B1) >> np.uint32(3)) & np.uint32(64 * words - 1)] = 1
-    return np.packbits(on).view(np.uint64)
+    return np.packbits(on, bitorder="little").view(np.uint64)
 
 
 def _fold(sig: np.ndarray, words: int) -> np.ndarray:
-    while len(sig) > words:
-        sig = sig[: len(sig) // 2] | sig[len(sig) // 2 :]
+    """The bitmap in fewer words, of one set or of many (rows)."""
+    while sig.shape[-1] > words:
+        half = sig.shape[-1] // 2
+        sig = sig[..., :half] | sig[..., half:]
     return sig
 
 
-def overlap(x: np.ndarray, y: np.ndarray, need: int, sigs: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-    """Exact |x & y| of sorted arrays, or -1 once the bitmaps show that it is below need."""
-    if sigs is not None:
-        words = min(len(sigs[0]), len(sigs[1]))
-        differ = int(np.bitwise_count(_fold(sigs[0], words) ^ _fold(sigs[1], words)).sum())
-        if (len(x) + len(y) - differ) // 2 < need:
-            return -1
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Exact |x & y| of sorted arrays."""
     small, large = (x, y) if len(x) <= len(y) else (y, x)
     at = np.searchsorted(large, small)
-    return int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(small) else 0
+
+
+def bounded(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that the bitmaps (u, z, sig) don't rule out."""
+    side = lambda c: sigs.select(F.col("u").alias(c), F.col("z").alias("z" + c), F.col("sig").alias("s" + c))
+    both = pairs.select("a", "b").join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "za", "zb", "sa", "sb")
+
+    def run(batches):
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for k, (zx, zy, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("za", "zb", "sa", "sb")))):
+                n = min(len(x), len(y))
+                p, q = int.from_bytes(_fold(np.frombuffer(x, np.uint64), n // 8).tobytes(), "little"), int.from_bytes(_fold(np.frombuffer(y, np.uint64), n // 8).tobytes(), "little")
+                keep[k] = (zx + zy - (p ^ q).bit_count()) // 2 >= math.ceil(threshold / (1 + threshold) * (zx + zy) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
+    return both.mapInArrow(run, "a long, b long")
 
-def signed_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(i, g, sig) of the documents ids (i): sorted 32-bit hashes, which tell the n-grams of one pair apart, and the bitmap."""
+
+def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs (a, b) that reach the threshold, by their sets (u, lo, hi)."""
+    side = lambda c: sets.select(F.col("u").alias(c), F.col("lo").alias("lo" + c), F.col("hi").alias("hi" + c))
+    both = pairs.select("a", "b").join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "loa", "hia", "lob", "hib")
 
     def run(batches):
         for b in batches:
-            got = [np.unique(np.frombuffer(x, np.uint32)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in got], pa.binary()), pa.array([signature(x).tobytes() for x in got], pa.binary())], ["i", "g", "sig"])
-
-    return sets.join(ids.hint("merge"), "i", "left_semi").select("i", "lo").mapInArrow(run, "i long, g binary, sig binary")
-
-
-def verify(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs (a, b) that reach the threshold."""
-    # both joins read the same exchange of the sets by id
-    with_b = signed.join(pairs.select(F.col("b").alias("i"), "a").hint("merge"), "i").select("a", F.col("i").alias("b"), F.col("g").alias("gb"), F.col("sig").alias("sb"))
-    lead = signed.join(pairs.select(F.col("a").alias("i")).distinct().hint("merge"), "i", "left_semi")
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            x = np.frombuffer(left["g"][0].as_py(), np.uint32)
-            sx, a = np.frombuffer(left["sig"][0].as_py(), np.uint64), left["i"][0].as_py()
-            for b, raw, sb in zip(right["b"].to_pylist(), right["gb"].to_pylist(), right["sb"].to_pylist()):
-                y = np.frombuffer(raw, np.uint32)
-                need = math.ceil(threshold / (1 + threshold) * (len(x) + len(y)) - 1e-9)
-                if min(len(x), len(y)) < need:
-                    continue
-                both = overlap(x, y, need, (sx, np.frombuffer(sb, np.uint64)))
-                if both >= need:
-                    out.append((a, b, round(both / (len(x) + len(y) - both), 6)))
-        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64()), "jaccard": pa.array([r[2] for r in out], pa.float64())})
-
-    return lead.groupBy("i").cogroup(with_b.groupBy("a")).applyInArrow(compare, "a long, b long, jaccard double")
-
-
-def _bounds(x: np.ndarray, y: np.ndarray, sigs: list[bytes], size: np.ndarray) -> np.ndarray:
-    """Upper bounds of the overlap of documents x[k] and y[k]; of two bitmaps of different width the larger is folded."""
-    width = np.array([len(s) // 8 for s in sigs])
-    least = np.minimum(width[x], width[y])
-    out = np.zeros(len(x), np.int64)
-    for w in np.unique(least).tolist():
-        on = np.flatnonzero(least == w)
-        used = np.unique(np.r_[x[on], y[on]])
-        m = np.zeros((len(used), w), np.uint64)
-        for k, u in enumerate(used.tolist()):
-            m[k] = _fold(np.frombuffer(sigs[u], np.uint64), w)
-        for at in range(0, len(on), 100_000):
-            o = on[at : at + 100_000]
-            differ = np.bitwise_count(m[np.searchsorted(used, x[o])] ^ m[np.searchsorted(used, y[o])]).sum(1).astype(np.int64)
-            out[o] = (size[x[o]] + size[y[o]] - differ) // 2
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                x, nx = _unpack(part.column(2), part.column(3))
+                y, ny = _unpack(part.column(4), part.column(5))
+                xe, ye = np.cumsum(nx), np.cumsum(ny)
+                n = np.array([overlap(x[p - i : p], y[q - j : q]) for p, i, q, j in zip(xe, nx, ye, ny)], np.int64)
+                j = n / (nx + ny - n)
+                ok = n >= _need(nx, ny, threshold)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.round(j, 6), pa.float64())], ["a", "b", "jaccard"]).filter(pa.array(ok))
+
+    return both.mapInArrow(run, "a long, b long, jaccard double")
+
+
+def _cross(t: pa.Table, threshold: float) -> pa.Table:
+    """(a, b): the candidates within each tile (g, x, y) whose families differ; of two blocks x and y only those of different blocks."""
+    g, u, z, rest, c, own = (t[n].to_numpy() for n in ("g", "u", "z", "rest", "c", "own"))
+    apart = t["x"].to_numpy() != t["y"].to_numpy()
+    z, rest = z.astype(np.int64), rest.astype(np.int64)
+    by = np.lexsort((c, g))
+    g, u, z, rest, c, own, apart = g[by], u[by], z[by], rest[by], c[by], own[by], apart[by]
+    start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    count = np.diff(np.r_[start, len(g)])
+    tile = np.repeat(np.arange(len(start)), count)
+    run = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])])  # a family within a tile
+    length = np.diff(np.r_[run, len(g)])
+    pick = np.lexsort((-length, tile[run]))
+    main = c[run[pick[np.flatnonzero(np.r_[True, tile[run][pick][1:] != tile[run][pick][:-1]])]]]
+    outside = np.flatnonzero(c != main[tile])
+    todo = np.cumsum(count[tile[outside]])
+    seen, at = np.zeros((0, 2), np.int64), 0
+    while at < len(outside):
+        upto = max(at + 1, int(np.searchsorted(todo, (todo[at - 1] if at else 0) + 2_000_000, "right")))
+        r = outside[at:upto]
+        n = count[tile[r]]
+        x = np.repeat(r, n)
+        y = np.repeat(start[tile[r]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        ok = (c[x] != c[y]) & ((c[y] == main[tile[y]]) | (u[y] > u[x])) & ~(apart[x] & (own[x] == own[y])) & _meet(x, y, z, rest, threshold)
+        x, y = u[x[ok]], u[y[ok]]
+        seen = np.unique(np.concatenate([seen, np.stack([np.minimum(x, y), np.maximum(x, y)], 1)]), axis=0)
+        at = upto
+    return pa.table({"a": pa.array(seen[:, 0], pa.int64()), "b": pa.array(seen[:, 1], pa.int64())})
+
+
+def crossing(entries: DataFrame, family: DataFrame, threshold: float, buckets: int, block: int) -> DataFrame:
+    """(a, b): candidates of different families (u, c; who isn't there is a family alone), each once."""
+    named = entries.join(family.hint("merge"), "u", "left").select("g", "u", "z", "rest", F.coalesce("c", "u").alias("c"))
+    named = written(named, "named")
+    mixed = named.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("g", F.ceil(F.col("m") / block).cast("int").alias("s"))
+    cut = named.join(mixed.hint("merge"), "g").withColumn("own", F.pmod(F.xxhash64("u"), F.col("s")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    # small tiles share a group; two blocks of a large one are a group of their own
+    key = F.when(F.col("s") == 1, F.pmod(F.xxhash64("g"), F.lit(buckets))).otherwise(F.xxhash64("g", "x", "y"))
+    pairs = met.select(key.alias("key"), "g", "u", "z", "rest", "c", "own", "x", "y").groupBy("key").applyInArrow(lambda t: _cross(t, threshold), "a long, b long")
+    out = written(pairs.distinct(), "crossing")
+    dropped(named)
     return out
 
 
-def _cross(tile: np.ndarray, d: np.ndarray, z: np.ndarray, c: np.ndarray, sig: dict[int, bytes], threshold: float, every: bool = False) -> np.ndarray:
-    """Of several tiles: for each document outside a tile's largest component and each other component the document there that the
-    bitmaps bound best, if they don't rule it out; or every document there that they don't rule out."""
-    by = np.lexsort((d, c, tile))
-    tile, d, z, c = tile[by], d[by], z[by], c[by]
-    ids, first_row, doc = np.unique(d, return_index=True, return_inverse=True)
-    sigs, size, comp = [sig[i] for i in ids.tolist()], z[first_row], c[first_row]
-    start = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
-    count = np.diff(np.r_[start, len(tile)])
-    t = np.repeat(np.arange(len(start)), count)
-    run = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (c[1:] != c[:-1])])  # a component within a tile
-    length = np.diff(np.r_[run, len(tile)])
-    pick = np.lexsort((run, -length, t[run]))
-    main = np.zeros(len(start), np.int64)
-    head = np.flatnonzero(np.r_[True, t[run][pick][1:] != t[run][pick][:-1]])
-    main[t[run][pick][head]] = c[run[pick[head]]]
-    outside = np.flatnonzero(c != main[t])
-    seen = []
-    todo = np.cumsum(count[t[outside]])
-    cuts = np.r_[np.searchsorted(todo, np.arange(0, todo[-1], 2_000_000)), len(todo)] if len(todo) else []
-    for lo, hi in zip(cuts, cuts[1:]):
-        if lo == hi:
+def _within(t: pa.Table, threshold: float) -> pa.Table:
+    """All pairs of a block, or of two blocks: each set's number of linked documents (a, n), and a forest (a, b) of the links."""
+    t = t.combine_chunks()
+    u, w, own = (t[c].to_numpy() for c in ("u", "w", "own"))
+    other = t["x"].to_numpy()[0] != t["y"].to_numpy()[0]
+    one = lambda c: t[c].chunk(0) if isinstance(t[c], pa.ChunkedArray) else t[c]
+    g, size = _unpack(one("lo"), one("hi"))
+    end = np.cumsum(size)
+    words = np.array([len(s) // 8 for s in t["sig"].to_pylist()])
+    folded: dict[int, np.ndarray] = {}
+    raw = [np.frombuffer(s, np.uint64) for s in t["sig"].to_pylist()]
+    code = np.unique(g, return_inverse=True)[1]
+    mark = np.zeros(int(code.max()) + 1 if len(code) else 1, np.int32)
+    links, root, forest = np.zeros(len(u), np.int64), list(range(len(u))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for x in range(len(u)):
+        y = np.arange(x + 1, len(u))
+        y = y[np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-9]
+        if other:
+            y = y[own[y] != own[x]]
+        if not len(y):
+            continue
+        least = int(min(words[x], words[y].min()))
+        if least not in folded:
+            folded[least] = np.array([_fold(s, least) if len(s) >= least else np.zeros(least, np.uint64) for s in raw])
+        m = folded[least]
+        need = _need(size[x], size[y], threshold)
+        differ = np.bitwise_count(m[y] ^ m[x]).sum(1).astype(np.int64)
+        fit = (size[x] + size[y] - differ) // 2 >= need
+        y, need = y[fit], need[fit]
+        if not len(y):
             continue
-        r = outside[lo:hi]
-        n = count[t[r]]
-        left = np.repeat(r, n)
-        right = np.repeat(start[t[r]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        ok = (c[left] != c[right]) & (np.minimum(z[left], z[right]) >= threshold * np.maximum(z[left], z[right]) - 1e-9) & ((c[right] == main[t[right]]) | (d[right] > d[left]))
-        seen.append(np.unique(doc[left[ok]] * len(ids) + doc[right[ok]]))
-    pairs = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
-    x, y = pairs // max(len(ids), 1), pairs % max(len(ids), 1)
-    fit = _bounds(x, y, sigs, size) - np.ceil(threshold / (1 + threshold) * (size[x] + size[y]) - 1e-9)
-    x, y, fit = x[fit >= 0], y[fit >= 0], fit[fit >= 0]
-    best = np.lexsort((ids[y], -fit, comp[y], x))
-    x, y = x[best], y[best]
-    keep = np.r_[True, every | (x[1:] != x[:-1]) | (comp[y][1:] != comp[y][:-1])] if len(x) else np.zeros(0, bool)
-    return np.unique(np.stack([np.minimum(ids[x], ids[y])[keep], np.maximum(ids[x], ids[y])[keep]], 1), axis=0)
+        mine = code[end[x] - size[x] : end[x]]
+        if size[y].sum() * 8 < len(code):
+            n = np.array([overlap(mine, code[end[j] - size[j] : end[j]]) for j in y])
+        else:  # the same for all at once
+            mark[mine] = 1
+            n = np.add.reduceat(mark[code], end - size)[y]
+            mark[mine] = 0
+        y = y[n >= need]
+        links[x] += w[y].sum()
+        links[y] += w[x]
+        for j in y.tolist():
+            p, q = find(x), find(j)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                forest.append((int(u[x]), int(u[j])))
+    on = np.flatnonzero(links)
+    a = np.r_[u[on], [p for p, _ in forest]].astype(np.int64)
+    edge = np.arange(len(a)) >= len(on)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(np.r_[np.zeros(len(on)), [q for _, q in forest]].astype(np.int64), pa.int64(), mask=~edge), "n": pa.array(np.r_[links[on], np.zeros(len(forest))].astype(np.int64), pa.int64(), mask=edge)})
+
+
+def within(sets: DataFrame, family: DataFrame, threshold: float, grams: int) -> DataFrame:
+    """_within of every family; one of more than `grams` n-grams in blocks of about that many."""
+    band = F.floor(F.ln(F.col("z")) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
+    sized = written(sets.select("u", "z").join(family, "u").select("u", "c", "z", band.alias("band")), "sized")
+    total = sized.groupBy("c").agg(F.sum("z").alias("all"))
+    banded = sized.join(total.hint("merge"), "c").select("u", "c", "z", F.when(F.col("all") > grams, F.col("band")).otherwise(0).alias("band"))
+    blocks = banded.groupBy("c", "band").agg(F.ceil(F.sum("z") / grams).cast("int").alias("s"))
+    near = blocks.select("c", "band", "s", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("near"))
+    meets = near.join(blocks.select("c", F.col("band").alias("near"), F.col("s").alias("there")).hint("merge"), ["c", "near"]).select("c", "band", "s", "near", F.explode(F.sequence(F.lit(0), F.col("there") - 1)).alias("other"))
+    own, far = F.struct("band", F.pmod(F.xxhash64("u"), F.col("s")).cast("int").alias("k")), F.struct(F.col("near").alias("band"), F.col("other").alias("k"))
+    keyed = banded.join(meets.hint("merge"), ["c", "band"]).select("u", "c", own.alias("own"), F.least(own, far).alias("x"), F.greatest(own, far).alias("y"))
+    flat = lambda s: F.xxhash64(f"{s}.band", f"{s}.k")
+    keyed = keyed.select("u", "c", flat("own").alias("own"), flat("x").alias("x"), flat("y").alias("y"))
+    rows = keyed.join(sets.hint("merge"), "u").select("c", "x", "y", "u", "own", "w", "sig", "lo", "hi")
+    out = written(rows.groupBy("c", "x", "y").applyInArrow(lambda t: _within(t, threshold), "a long, b long, n long"), "within")
+    dropped(sized)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(i, c): for every id in edges (a, b) the smallest id of its component, by hooking to smaller labels and shortening."""
+    """(u, c): for every number in edges (a, b) the smallest of its component, by hooking to smaller labels and shortening."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("i"), F.least("a", "m").alias("c")), "labels")
+    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("c")), "labels")
     while True:
-        near = both.join(label.select(F.col("i").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        hooked = label.select("i", "c").join(near.select(F.col("a").alias("i"), "m"), "i").select("i", F.col("c").alias("was"), F.least("c", "m").alias("c"))
-        up = label.select(F.col("i").alias("c"), F.col("c").alias("cc"))
-        new = written(hooked.join(up, "c", "left").select("i", "was", F.least("c", F.coalesce("cc", "c")).alias("c")), "labels")
+        near = both.join(label.select(F.col("u").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
+        hooked = label.select("u", "c").join(near.select(F.col("a").alias("u"), "m"), "u").select("u", F.col("c").alias("was"), F.least("c", "m").alias("c"))
+        up = label.select(F.col("u").alias("c"), F.col("c").alias("cc"))
+        new = written(hooked.join(up, "c", "left").select("u", "was", F.least("c", F.coalesce("cc", "c")).alias("c")), "labels")
         dropped(label)
         if new.where("c != was").isEmpty():
             dropped(both)
-            return new.select("i", "c")
+            return new
         label = new
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.6, tile_docs: int = 4000) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b, jaccard), enough to connect every group, and (doc_id, group_id) of every document in a group of several.
-    tile_docs: documents for each bucket of tiles, which bounds a task's memory whatever the size of the table."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.6, tile_docs: int = 4000, block_docs: int = 20_000, block_grams: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(i, th, c, least, links) of every document that has a link: id, hash of its text, group, smallest id of its class, number of linked documents.
+    tile_docs: sets for each bucket of tiles; block_docs, block_grams: where a tile and a family are cut into blocks.  They bound a task's memory
+    whatever the size of the table, and change no result.  And (i, th) of the documents that several rows hold."""
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
-    repeats = rows.groupBy("i").count().where("count > 1").select("i")
-    twice = not repeats.isEmpty()
-    if twice:
-        some = rows.join(repeats, "i", "left_semi").groupBy("i").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
-        rows = written(rows.join(repeats, "i", "left_anti").unionByName(some), "single")
     n_docs = docs.count()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // tile_docs))
-    # counters for the sketch: eight a document, within what a broadcast may hold
-    bits = min(max(n_docs.bit_length() + 3, 16), 24)
-    sets = written(gram_sets(rows, n), "sets")
-    order = spark.sparkContext.broadcast(levels(frequency_sketch(sets, bits)))
-    found = written(stars(tiles(sets, order, bits, threshold, buckets), threshold), "stars")
+    bits = min(max(n_docs.bit_length() + 6, 16), 22)
+    head = written(heads(rows, n, bits), "heads")
+    named = head.where("k is null").groupBy("i", "th").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+    order = spark.sparkContext.broadcast(levels(frequency_sketch(head.where("k is not null").select("k", "c", "p"), bits)))
+    sets = written(class_sets(rows, n).withColumn("u", F.monotonically_increasing_id()), "sets")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() // tile_docs))
+    found = written(stars(tiles(sets, order, bits, threshold, buckets, block_docs), order, bits, threshold, block_docs), "stars")
+    sigs = sets.select("u", "z", "sig")
     counted = found.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    best = written(counted.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "best")
-    several = found.where("docs is not null").select(F.explode("docs").alias("i")).distinct()
-    signed = written(signed_sets(sets, several), "signed")
+    best = written(bounded(counted.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")), sigs, threshold), "best")
+    family = components(best)
+    cross = crossing(found.where("g is not null").select("g", "u", "z", "rest"), family, threshold, buckets, block_docs)
+    left = written(bounded(cross, sigs, threshold), "left")
+    dropped(found, cross, best)
+    classes = written(named.groupBy("h1", "h2").agg(F.count("*").alias("w"), F.min("i").alias("least")).join(sets.select("h1", "h2", "u").hint("merge"), ["h1", "h2"]), "classes")
+    active = family.select("u").union(left.select("a")).union(left.select("b")).distinct()
+    live = written(sets.join(active.hint("merge"), "u", "left_semi").join(classes.select("u", "w"), "u").select("u", "w", "z", "sig", "lo", "hi"), "live")
     dropped(sets)
-    links = written(verify(best, signed, threshold), "links")
-    comp = components(links)
-    # tiles with documents of more than one component: the best member of each until they give no new link, then every member that is left
-    member = found.where("docs is not null").select(F.xxhash64("docs", F.size("docs")).alias("tile"), F.explode(F.arrays_zip("docs", "sizes")).alias("x")).select("tile", F.col("x.docs").alias("d"), F.col("x.sizes").alias("z"))
-    tried, every = best, False
-    while True:
-        named = member.distinct().join(comp.select(F.col("i").alias("d"), "c").hint("merge"), "d", "left").select("tile", "d", "z", F.coalesce("c", "d").alias("c"))
-        mixed = named.groupBy("tile").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.collect_list(F.struct("d", "z", "c")).alias("m")).where("lo != hi")
-        # tiles of one component stay together, so that a document's bitmap travels once for all of them
-        together = F.pmod(F.xxhash64("lo", F.pmod("tile", F.lit(4))), F.lit(4 * buckets)).alias("k")
-        entries = written(mixed.select(together, "tile", F.explode("m").alias("x")).select("k", "tile", "x.*"), "mixed")
-        signs = entries.select("k", "d").distinct().join(signed.select(F.col("i").alias("d"), "sig").hint("merge"), "d").select(F.col("k").alias("of"), F.col("d").alias("i"), "sig")
-        offers = entries.groupBy("k").cogroup(signs.groupBy("of")).applyInArrow(lambda t, g: _offer(t, g, threshold, every), "a long, b long")
-        offered = written(offers.distinct(), "offered")
-        dropped(entries)
-        fresh = written(offered.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "fresh")
-        dropped(offered)
-        more = written(verify(fresh, signed, threshold), "links")
-        tried = tried.unionByName(fresh)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = components(links)
-        elif not every:
-            every = True
-            continue
-        # once every pair between components has been compared, later components only have fewer
-        if every:
-            break
-    dropped(found, signed)
-    return links, comp.select(F.col("i").alias("doc_id"), F.col("c").alias("group_id"))
-
-
-def _offer(t: pa.Table, g: pa.Table, threshold: float, every: bool = False) -> pa.Table:
-    sig = dict(zip(g["i"].to_pylist(), g["sig"].to_pylist()))
-    pairs = _cross(t["tile"].to_numpy(), t["d"].to_numpy(), t["z"].to_numpy().astype(np.int64), t["c"].to_numpy(), sig, threshold, every) if t.num_rows else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    inner = within(live, family, threshold, block_grams)
+    outer = written(linked(left, live, threshold), "links")
+    dropped(live, left, family)
+    forest = inner.where("b is not null").select("a", "b").unionByName(outer.select("a", "b"))
+    comp = components(forest)
+    weight = classes.select("u", "w")
+    met = outer.select(F.col("a").alias("x"), F.col("b").alias("u")).unionByName(outer.select(F.col("b").alias("x"), F.col("a").alias("u"))).join(weight, "u").select(F.col("x").alias("u"), F.col("w").alias("n"))
+    count = inner.where("b is null").select(F.col("a").alias("u"), "n").unionByName(met).groupBy("u").agg(F.sum("n").alias("n"))
+    each = classes.join(comp, "u", "left").join(count, "u", "left").where("w > 1 or c is not null").select("h1", "h2", "least", F.coalesce("c", "u").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("links"))
+    return named.join(each.hint("merge"), ["h1", "h2"]).select("i", "th", "c", "least", "links"), head.where("k is null").groupBy("i", "th").count().where("count > 1").select("i", "th")
 
 
 def groups(docs: DataFrame, **params) -> DataFrame:
-    """(group_id, doc_ids, n_docs): every group of several documents."""
-    _, member = join(docs, **params)
-    return member.groupBy("group_id").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids")).select("group_id", "doc_ids", F.size("doc_ids").alias("n_docs"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """docs with one document of each group, the one of the smallest id; rows with an id that occurs twice are groups of copies too."""
-    _, member = join(docs, id_col=id_col, **params)
-    gone = member.where("doc_id != group_id").select(F.col("doc_id").alias(id_col))
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    """(doc_id, group_id, links): every document with a link, its group (the smallest id that links lead to) and how many documents reach the threshold with it."""
+    member = written(join(docs, **params)[0], "member")
+    least = member.groupBy("c").agg(F.min("least").alias("group_id"))
+    return member.join(least.hint("merge"), "c").select(F.col("i").alias("doc_id"), "group_id", "links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """docs with one document of each group, the one of the smallest id (then text hash); of rows with the same id and text one stays, the one of the smallest hash of all columns.
+    Rows that are in no group stay, null ids, null texts and texts without words among them."""
+    member, repeats = join(docs, id_col=id_col, text_col=text_col, **params)
+    member = written(member, "member")
+    first = member.groupBy("c").agg(F.min(F.struct("i", "th")).alias("keep"))
+    i, th = free_name(docs, "_i"), free_name(docs, "_th")
+    gone = written(member.join(first.hint("merge"), "c").where("i != keep.i or th != keep.th").select(F.col("i").alias(i), F.col("th").alias(th)), "gone")
+    dropped(member)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.select(*own, F.col(f"`{id_col}`").cast("long").alias(i), F.xxhash64(text).alias(th))
+    kept = keyed.join(gone.hint("merge"), [i, th], "left_anti")
+    twice = written(repeats.select(F.col("i").alias(i), F.col("th").alias(th)), "twice")
     if twice.isEmpty():
-        return kept
-    return kept.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(kept.join(twice, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+        return kept.select(*own)
+    lone = kept.join(twice.hint("merge"), [i, th], "left_anti").select(*own)
+    some = kept.join(twice.hint("merge"), [i, th], "left_semi")
+    one = some.groupBy(i, th).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("r"))
+    return lone.unionByName(one.select(*[F.col("r").getField(c).alias(c) for c in docs.columns]))
 
 
 def brute_force(rows: list[tuple[int, str]], n: int, threshold: float) -> tuple[dict[tuple[int, int], float], dict[int, int]]:

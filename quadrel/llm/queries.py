@@ -32,7 +32,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups, not the join's pairs: documents of a group may be joined by a chain only."""
+    """Every document with a link: its group and the number of documents that reach the threshold with it; pairs within a group aren't listed."""
     return jaccard_join.groups(_read(spark, sf_dir, "documents"))
 
 

@@ -226,4 +226,4 @@ def test_bitmaps_bound_the_overlap_from_above(a, b, common):
     sx, sy = jaccard_join.signature(x), jaccard_join.signature(y)
     words = min(len(sx), len(sy))
     bound = (len(x) + len(y) - int(np.bitwise_count(jaccard_join._fold(sx, words) ^ jaccard_join._fold(sy, words)).sum())) // 2
-    assert bound >= len(set(x.tolist()) & set(y.tolist())) == jaccard_join.overlap(x, y, 0)
+    assert bound >= len(set(x.tolist()) & set(y.tolist())) == jaccard_join.overlap(x, y)
