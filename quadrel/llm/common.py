@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "quadrel-shared")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -91,6 +94,11 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have (names are compared without case, as Spark does)."""
     taken = {c.lower() for c in df.columns}

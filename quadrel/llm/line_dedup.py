@@ -1,20 +1,19 @@
 """Operator 1: line dedup by pairwise alignment.
 
-1. Every line is hashed (white space at its ends apart).  Anchors are the lines of at least `anchor_words` words, and the windows: from each
-   line the fewest lines of at least `block_words` words together, blank ones apart.  An anchor counts if more than one document has it.
-2. For each anchor the first document that holds it (smallest id) is paired with every later one.  This star needs no
-   limit on how many documents share a line: pairs grow with the occurrences, not with their square.
-3. Each pair is aligned with patience diff: lines that are unique in both and common to both, their longest increasing
-   run, then the same between neighbours, ends extended line by line.
-4. A window that an earlier document has is shared whatever the alignment: every run of whole lines of at least `block_words` words that any
-   earlier document holds line by line begins with one.
-5. Shared lines and aligned lines of all earlier partners form runs in the later document (blank lines join a run); a run of at least
-   `block_words` words is deleted from it.  The earlier document keeps its text.
+1. Every line is hashed (white space at its ends apart).  Keys are the lines of at least `anchor_words` words, and the windows: from each
+   line on, and back from each line, the fewest lines of at least `block_words` words together, blank ones apart.  A key counts if more than one document has it.
+2. A window that an earlier document has is deleted.  Windows of both directions cover every line of every run of whole lines of at least `block_words` words
+   that any earlier document holds line by line, however many documents share it.
+3. For each rare key (at most `rare` occurrences) the first document that holds it (smallest id) is paired with every later one.  Each pair is
+   aligned with patience diff: lines that are unique in both and common to both, their longest increasing run, then the same between
+   neighbours, ends extended line by line.  So blocks are found between whose lines the earlier document has others.
+4. The aligned lines of a pair form runs in the later document (blank lines join a run); a run of at least `block_words` words is deleted.  Runs are judged
+   pair by pair, then all that is to be deleted is united.  The earlier document keeps its text.
 
 Defined results: rows whose id or text is null are returned as they are, with 0 lines removed.  An empty text has no
 lines to share.  Rows with the same id and the same text are one document and keep or lose the same lines; rows with the
 same id and different texts are ordered by the hash of the text.  A text that loses all its lines becomes empty.  Further
-columns pass through whatever their names; working columns take names that the table doesn't have.
+columns pass through whatever their names; working columns, the count too, take names that the table doesn't have (a `_` is added).  Ids must be integers.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import col, free_name, written
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -80,7 +79,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(i, h, hs): id, hash of the text, hashes of its lines (0 for a blank one), words of each line."""
-    d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null and length(t) > 0")
+    d = docs.select(col(id_col).cast("long").alias("i"), col(text_col).cast("string").alias("t")).where("i is not null and t is not null and length(t) > 0")
 
     def run(batches):
         import xxhash
@@ -103,139 +102,95 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def windows(hs: list[int], ws: list[int], block_words: int) -> list[tuple[int, int, int]]:
-    """(hash, first line, line after the last) of the fewest lines from each one that have block_words words, blank ones apart."""
+    """(hash, first line, line after the last) of the fewest lines on from each one, and back from each one, that have block_words words, blank ones apart."""
     import xxhash
 
     on = [k for k, w in enumerate(ws) if w]
-    out, e, words = [], 0, 0
+    spans: set[tuple[int, int]] = set()
+    e, words = 0, 0
     for s, k in enumerate(on):
         while e < len(on) and words < block_words:
             words += ws[on[e]]
             e += 1
         if words < block_words:
             break
-        key = hs[k] if e == s + 1 else xxhash.xxh3_64_intdigest(b"".join(hs[x].to_bytes(8, "little", signed=True) for x in on[s:e])) - (1 << 63)
-        out.append((key, k, on[e - 1] + 1))
+        spans.add((s, e))
         words -= ws[k]
-    return out
+    s, words = 0, 0
+    for e, k in enumerate(on):
+        words += ws[k]
+        while words - ws[on[s]] >= block_words:
+            words -= ws[on[s]]
+            s += 1
+        if words >= block_words:
+            spans.add((s, e + 1))
+    key = lambda s, e: hs[on[s]] if e == s + 1 else xxhash.xxh3_64_intdigest(b"".join(hs[x].to_bytes(8, "little", signed=True) for x in on[s:e])) - (1 << 63)
+    return [(key(s, e), on[s], on[e - 1] + 1) for s, e in sorted(spans)]
+
+
+def long_runs(hit: set[int], ws: list[int], block_words: int) -> list[int]:
+    """The lines of runs of hits (blank lines join a run) that have block_words words."""
+    keep: list[int] = []
+    j = 0
+    while j < len(ws):
+        if j not in hit:
+            j += 1
+            continue
+        k, last = j, j
+        while k < len(ws) and (k in hit or not ws[k]):
+            last = k if k in hit else last
+            k += 1
+        if sum(ws[j : last + 1]) >= block_words:
+            keep += range(j, last + 1)
+        j = k
+    return keep
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = 8, block_words: int = 20) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = 8, block_words: int = 20, rare: int = 100) -> DataFrame:
     """(i, h, gone): the line numbers that each document (by id and hash of the text) loses."""
     seqs = written(_lines(docs, id_col, text_col), "lines").dropDuplicates(["i", "h"])
 
-    def anchors(batches):
+    def keys(batches):
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
             for i, h, hs, ws in zip(*(c.to_pylist() for c in b.columns)):
                 found = windows(hs, ws, block_words)
                 seen = {x for x, _, _ in found}
-                for x, s, e in found + [(x, 0, 0) for x, w in zip(hs, ws) if w >= anchor_words and x not in seen]:
+                for x, s, e in found + [(x, 0, 0) for x in {x for x, w in zip(hs, ws) if w >= anchor_words} - seen]:
                     for c, v in zip(cols, (x, i, h, s, e)):
                         c.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["line", "i", "h", "s", "e"])
 
-    occ = seqs.select("i", "h", "hs", "ws").mapInArrow(anchors, "line long, i long, h long, s int, e int").select("line", F.struct("i", "h").alias("d"), "s", "e")
-    first = occ.groupBy("line").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first != last").select("line", "first")
-    shared = written(occ.join(first, "line").where("d != first").select("first", "d", "s", "e"), "shared")
-    pairs = shared.select("first", "d").distinct()
+    occ = seqs.select("i", "h", "hs", "ws").mapInArrow(keys, "line long, i long, h long, s int, e int").select("line", F.struct("i", "h").alias("d"), "s", "e")
+    first = occ.groupBy("line").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("n")).where("first != last").select("line", "first", (F.col("n") <= rare).alias("rare"))
+    shared = written(occ.join(first, "line").where("d != first").select("first", "d", "s", "e", "rare"), "shared")
+    pairs = shared.where("rare").select("first", "d").distinct()
     one = seqs.select(F.struct("i", "h").alias("first"), F.col("hs").alias("a"))
     two = seqs.select(F.struct("i", "h").alias("d"), F.col("hs").alias("b"), "ws")
     both = pairs.join(one, "first").join(two, "d").select("d", "a", "b", "ws")
 
     def align(batches):
         for b in batches:
-            got = []
-            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                got.append([j for _, j in patience(x, y) if y[j]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32())), b.column(3), b.column(2)], ["d", "hit", "ws", "b"])
+            got = [long_runs({j for _, j in patience(x, y) if y[j]}, w, block_words) for x, y, w in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], ["d", "hit"])
 
-    hits = both.mapInArrow(align, "d struct<i:long,h:long>, hit array<int>, ws array<int>, b array<long>")
-    whole = shared.where("e > s").select("d", F.sequence("s", F.col("e") - 1).alias("hit"), F.lit(None).cast("array<int>").alias("ws"))
-    merged = hits.select("d", "hit", "ws").unionByName(whole).groupBy("d").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.first("ws", ignorenulls=True).alias("ws"))
+    runs = both.mapInArrow(align, "d struct<i:long,h:long>, hit array<int>").where("size(hit) > 0")
+    whole = shared.where("e > s").select("d", F.sequence("s", F.col("e") - 1).alias("hit"))
+    return runs.unionByName(whole).groupBy("d").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("gone")).select("d.i", "d.h", "gone")
 
-    def runs(batches):
-        for b in batches:
-            out = []
-            for hit, ws in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                on, keep = set(hit), []
-                j = 0
-                while j < len(ws):
-                    if j not in on:
-                        j += 1
-                        continue
-                    k, last = j, j
-                    while k < len(ws) and (k in on or not ws[k]):
-                        last = k if k in on else last
-                        k += 1
-                    if sum(ws[j : last + 1]) >= block_words:
-                        keep += range(j, last + 1)
-                    j = k
-                out.append(keep)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["d", "gone"])
-
-    return merged.mapInArrow(runs, "d struct<i:long,h:long>, gone array<int>").where("size(gone) > 0").select("d.i", "d.h", "gone")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = 8, block_words: int = 20, count_col: str | None = "lines_removed") -> DataFrame:
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_words: int = 8, block_words: int = 20, rare: int = 100, count_col: str | None = "lines_removed") -> DataFrame:
     """docs with the shared blocks deleted from the later documents, and the number of lines deleted in `count_col`."""
-    gone = written(removals(docs, id_col, text_col, anchor_words, block_words), "gone")
+    gone = written(removals(docs, id_col, text_col, anchor_words, block_words, rare), "gone")
     i, h, g = free_name(docs, "_i"), free_name(docs, "_h"), free_name(docs, "_gone")
     side = gone.select(F.col("i").alias(i), F.col("h").alias(h), F.col("gone").alias(g))
-    text = F.col(text_col).cast("string")
+    text = col(text_col).cast("string")
     # the same join at every size: a broadcast side would grow with the table
-    j = docs.join(side.hint("merge"), (docs[id_col].cast("long") == F.col(i)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(h)), "left")
+    keyed = docs.select(*[col(c) for c in docs.columns], col(id_col).cast("long").alias(i), F.xxhash64(text).alias(h))
+    j = keyed.join(side.hint("merge"), [i, h], "left")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, k: ~F.array_contains(g, k)), "\n")
-    cols = [F.when(F.col(g).isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    cols = [F.when(F.col(g).isNull(), text).otherwise(left).alias(c) if c == text_col else col(c) for c in docs.columns]
     if count_col:
-        cols.append(F.coalesce(F.size(g), F.lit(0)).alias(count_col))
+        cols.append(F.coalesce(F.size(g), F.lit(0)).alias(free_name(docs, count_col)))
     return j.select(*cols)
-
-
-def brute_force(rows: list[tuple[int | None, str | None]], anchor_words: int = 8, block_words: int = 20) -> list[str | None]:
-    """The texts left, by direct comparison of every document with every earlier one (distinct ids)."""
-    lines = [t.split("\n") if t else [] for _, t in rows]
-    out = []
-    for n, (i, t) in enumerate(rows):
-        if i is None or not t:
-            out.append(t)
-            continue
-        b = [x.strip() for x in lines[n]]
-        hit: set[int] = set()
-        first = {}
-        for line in b:
-            if len(line.split()) >= anchor_words:
-                who = [rows[m][0] for m in range(len(rows)) if rows[m][0] is not None and rows[m][1] and line in [x.strip() for x in lines[m]]]
-                first[line] = min(who)
-        for f in set(first.values()) - {i}:
-            m = next(m for m in range(len(rows)) if rows[m][0] == f)
-            a = [x.strip() for x in lines[m]]
-            ids = {x: k for k, x in enumerate(dict.fromkeys(a + b))}
-            hit |= {q for _, q in patience([ids[x] for x in a], [ids[x] for x in b]) if b[q]}
-        on = [q for q, x in enumerate(b) if x]
-        for m in [m for m in range(len(rows)) if rows[m][0] is not None and rows[m][1] and rows[m][0] < i]:
-            a = [x.strip() for x in lines[m] if x.strip()]
-            for p in range(len(a)):
-                for q in range(len(on)):
-                    k = 0
-                    while p + k < len(a) and q + k < len(on) and a[p + k] == b[on[q + k]]:
-                        k += 1
-                    if sum(len(x.split()) for x in a[p : p + k]) >= block_words:
-                        hit |= set(on[q : q + k])
-        words = [len(x.split()) for x in b]
-        gone: set[int] = set()
-        run: list[int] = []
-        for q in range(len(b) + 1):
-            if q < len(b) and (q in hit or (run and not words[q])):
-                run.append(q)
-                continue
-            while run and run[-1] not in hit:
-                run.pop()
-            if sum(words[k] for k in run) >= block_words:
-                gone |= set(run)
-            run = []
-        out.append("\n".join(x for k, x in enumerate(lines[n]) if k not in gone))
-    return out
-
-
