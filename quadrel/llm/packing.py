@@ -6,12 +6,15 @@ one to empty and looks, for pieces of it, for a move into another bin, an exchan
 its pieces for one, such that the other bin gains words and stays within capacity; each such step raises the sum of squared fills, so
 the search ends.  A bin that has lost all its pieces is gone.
 
-Shards hold `shard_docs` documents on average (by hash of the id), so tasks stay alike in size as the table grows; each
-leaves at most a few underfull bins, a share that falls with the shard size, not with the table's.
+The search ends when the underfull bins but the emptiest lack the room for what that one holds: no bin can then be emptied, though
+the sum of squared fills could still rise.
+
+Shards hold `shard_docs` documents on average, by hash of id, text and input partition (so that repeated rows spread), and tasks stay alike in size as
+the table grows; each leaves at most a few underfull bins, a share that falls with the shard size, not with the table's.
 
 Defined results: a null or blank text has no words and is in no bin.  Null ids are packed like others (the entry's id is
 null).  Repeated rows are packed each.  Equal sizes are taken in order of id, then text hash.  An empty table gives no bin.  Only the
-id and text columns are read.
+id and text columns are read; ids must be integers.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import col
+
 SCHEMA = "bin_id string, doc_ids array<long>, parts array<int>, sizes array<int>, fill int, capacity int, searched boolean"
 
 
@@ -123,18 +128,17 @@ def _step(sizes: list[int], bins: list[list[int]], fill: list[int], src: int, ot
 
 def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each bin: its documents, which part of each, their words, the fill."""
-    text = F.col(text_col).cast("string")
-    sized = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h"), words(text).cast("int").alias("n")).where("n > 0")
+    text = col(text_col).cast("string")
+    sized = docs.select(col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h"), words(text).cast("int").alias("n")).where("n > 0")
     shards = max(1, -(-docs.count() // shard_docs))
-    keyed = sized.withColumn("shard", F.pmod(F.xxhash64("i", "h"), F.lit(shards)).cast("int"))
+    keyed = sized.withColumn("shard", F.pmod(F.xxhash64("i", "h", F.spark_partition_id()), F.lit(shards)).cast("int"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["i", "h"], kind="stable", na_position="first")
-        shard = int(pdf["shard"].iloc[0])
-        ids = [None if pd.isna(x) else int(x) for x in pdf["i"]]
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("i", "ascending"), ("h", "ascending")])
+        shard, ids = t["shard"][0].as_py(), t["i"].to_pylist()  # a null beside large ids must not turn them into doubles
         rows, pieces = [], []
-        for d, n in enumerate(pdf["n"].to_numpy()):
-            full, rest = divmod(int(n), capacity)
+        for d, n in enumerate(t["n"].to_pylist()):
+            full, rest = divmod(n, capacity)
             rows += [([d], [p], [capacity], False) for p in range(full)]
             if rest:
                 pieces.append((rest, d, full))
@@ -142,16 +146,19 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 10_000, id_col
         for b in local_search(sizes, best_fit(sizes, capacity), capacity):
             b = sorted(b)
             rows.append(([pieces[i][1] for i in b], [pieces[i][2] for i in b], [sizes[i] for i in b], True))
-        return pd.DataFrame(
+        rows = [([ids[d] for d in r[0]], *r[1:]) for r in rows]
+        off = pa.array(np.r_[0, np.cumsum([len(r[0]) for r in rows])], pa.int32())
+        of = lambda k, t: pa.ListArray.from_arrays(off, pa.array([x for r in rows for x in r[k]], t))
+        return pa.table(
             {
                 "bin_id": [f"{shard}-{k}" for k in range(len(rows))],
-                "doc_ids": [[ids[d] for d in r[0]] for r in rows],
-                "parts": [r[1] for r in rows],
-                "sizes": [r[2] for r in rows],
-                "fill": np.array([sum(r[2]) for r in rows], np.int32),
-                "capacity": np.full(len(rows), capacity, np.int32),
-                "searched": [r[3] for r in rows],
+                "doc_ids": of(0, pa.int64()),
+                "parts": of(1, pa.int32()),
+                "sizes": of(2, pa.int32()),
+                "fill": pa.array([sum(r[2]) for r in rows], pa.int32()),
+                "capacity": pa.array([capacity] * len(rows), pa.int32()),
+                "searched": pa.array([r[3] for r in rows], pa.bool_()),
             }
         )
 
-    return keyed.groupBy("shard").applyInPandas(run, SCHEMA)
+    return keyed.groupBy("shard").applyInArrow(run, SCHEMA)
