@@ -5,13 +5,13 @@ the universe that pass it wrongly are encoded in level 2, the listed ones among
 3, and so on until no error is left.  A key of the universe is listed exactly if the first level that it doesn't pass is
 even.  The cascade is built by hash bucket of the key, so each bucket is one small task whatever the number of keys, and
 it is read without a join: it goes to the tasks as a broadcast while it is below `broadcast_mb`, beyond that the pages are
-routed to their buckets.
+routed to their buckets, with the same answers.
 
 Keys are compared by 128 bits of hash (two 64-bit hashes), which stands for the key itself.
 
 Defined results: a null or empty URL, or one without a host, has no key; its `listed` is null.  Repeated rows and URLs with the
 same key get the same answer.  With no page the cascade has no bucket and the result is empty; with no listed key every
-key is answered false.  Only the id and URL columns are read.
+key is answered false.  Only the id and URL columns are read; ids must be integers.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, written
+from .common import col, map_slices, written
 
 #: Listed hosts of the default rule (with all their subdomains).
 LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com", "casino-win.example.net", "click-bait.example.com", "adult-zone.example.net", "malware-host.example.org")
@@ -106,7 +106,7 @@ def build(pages: DataFrame, url_col: str = "url", hosts: tuple[str, ...] = LISTE
     keys instead of hosts; keys outside the universe don't count."""
     n = pages.count()
     buckets = max(1, -(-n // bucket_keys))
-    keys = _hashed(pages, url_key(F.col(url_col)), [], buckets).where("key is not null")
+    keys = _hashed(pages, url_key(col(url_col)), [], buckets).where("key is not null")
     keys = keys.withColumn("listed", listed_host(F.col("key"), hosts).cast("int")) if listed is None else keys.withColumn("listed", F.lit(0)).unionByName(_hashed(listed, F.col("key"), [], buckets).where("key is not null").withColumn("listed", F.lit(2)))
     distinct = keys.groupBy("bucket", "h1", "h2").agg(F.max("listed").alias("top"), F.min("listed").alias("low")).select("bucket", "h1", "h2", F.when(F.col("low") == 2, None).otherwise(F.col("top") > 0).alias("listed")).where("listed is not null")
 
@@ -117,9 +117,9 @@ def build(pages: DataFrame, url_col: str = "url", hosts: tuple[str, ...] = LISTE
     return written(distinct.groupBy("bucket").applyInPandas(make, SCHEMA), "cascade"), buckets
 
 
-def apply_filter(pages: DataFrame, cascade: DataFrame, buckets: int, id_col: str = "page_id", url_col: str = "url", broadcast_mb: float = 64) -> DataFrame:
+def apply_filter(pages: DataFrame, cascade: DataFrame, buckets: int, id_col: str = "page_id", url_col: str = "url", broadcast_mb: float = 64, group_rows: int = 500_000) -> DataFrame:
     """(page_id, url_key, listed) of every row."""
-    rows = _hashed(pages, url_key(F.col(url_col)), [F.col(id_col).cast("long").alias("page_id")], buckets)
+    rows = _hashed(pages, url_key(col(url_col)), [col(id_col).cast("long").alias("page_id")], buckets)
     size = cascade.select(F.sum(F.aggregate("levels", F.lit(0).cast("long"), lambda a, x: a + F.length(x["bits"]))).alias("n")).first()["n"] or 0
     out = "page_id long, url_key string, listed boolean"
 
@@ -138,11 +138,18 @@ def apply_filter(pages: DataFrame, cascade: DataFrame, buckets: int, id_col: str
         whole = pages.sparkSession.sparkContext.broadcast({r["bucket"]: [x.asDict() for x in r["levels"]] for r in cascade.collect()})
         return map_slices(rows, lambda b: answer(whole.value, b), out, 50_000)
 
-    def routed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        hit = probe([dict(bits=x["bits"], m=int(x["m"]), k=int(x["k"])) for x in right.levels.iloc[0]] if len(right) else [], left.h1.to_numpy(), left.h2.to_numpy()) if len(left) else np.zeros(0, bool)
-        return pd.DataFrame({"page_id": left.page_id.astype("Int64"), "url_key": left.key, "listed": hit})
+    # beyond that a bucket's pages go where its levels are, in groups of at most about group_rows, each with a copy of the levels: one URL may hold any share of the rows
+    of = rows.where("bucket is not null")
+    cut = of.groupBy("bucket").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("s"))
+    sent = of.join(cut.hint("merge"), "bucket").withColumn("part", F.pmod(F.xxhash64("page_id", F.monotonically_increasing_id()), F.col("s")).cast("int")).drop("s")
+    copies = cascade.join(cut.hint("merge"), "bucket").select("bucket", "levels", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("part"))
 
-    some = rows.where("bucket is not null").groupBy("bucket").cogroup(cascade.groupBy("bucket")).applyInPandas(routed, out)
+    def routed(left: pa.Table, right: pa.Table) -> pa.Table:
+        levels = {b: x for b, x in zip(right["bucket"].to_pylist(), right["levels"].to_pylist())}
+        got = [answer(levels, b) for b in left.combine_chunks().to_batches()]
+        return pa.Table.from_batches(got, got[0].schema if got else pa.schema([("page_id", pa.int64()), ("url_key", pa.string()), ("listed", pa.bool_())]))
+
+    some = sent.groupBy("bucket", "part").cogroup(copies.groupBy("bucket", "part")).applyInArrow(routed, out)
     return some.unionByName(rows.where("bucket is null").select("page_id", F.col("key").alias("url_key"), F.lit(None).cast("boolean").alias("listed")))
 
 
