@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, free_name, written
+from .common import col, dropped, free_name, written
 
 MASK40 = np.uint64((1 << 40) - 1)
 CHUNK = 1 << 16
@@ -93,7 +93,7 @@ def _sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    i, t = col(id_col).cast("long"), col(text_col).cast("string")
     return docs.select(i.alias("i"), F.xxhash64(t).alias("th"), t.alias("t")).where("i is not null and t is not null and length(t) > 0")
 
 
@@ -581,9 +581,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     i, th = free_name(docs, "_i"), free_name(docs, "_th")
     gone = written(member.join(first.hint("merge"), "c").where("i != keep.i or th != keep.th").select(F.col("i").alias(i), F.col("th").alias(th)), "gone")
     dropped(member)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    text = F.col(f"`{text_col}`").cast("string")
-    keyed = docs.select(*own, F.col(f"`{id_col}`").cast("long").alias(i), F.xxhash64(text).alias(th))
+    own = [col(c) for c in docs.columns]
+    text = col(text_col).cast("string")
+    keyed = docs.select(*own, col(id_col).cast("long").alias(i), F.xxhash64(text).alias(th))
     kept = keyed.join(gone.hint("merge"), [i, th], "left_anti")
     twice = written(repeats.select(F.col("i").alias(i), F.col("th").alias(th)), "twice")
     if twice.isEmpty():

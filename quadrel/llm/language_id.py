@@ -5,7 +5,7 @@ spherical k-means centroids; a text goes to the language of the nearest centroid
 what labelled texts of about the same length show, in which case it is rejected.
 
 Document frequencies are counted over all texts.  Only the centroids and distance limits are fitted on a sample of
-labelled rows, bounded by `max_train` rows per language and chosen by hash of the text.
+labelled rows, bounded by `max_train` texts per language (chosen by hash of the text) and `max_languages` languages.
 
 Defined results: a null, empty or letterless text has no language (`lang_id` null, `rejected` true, `distance` 1).  A
 null `doc_id` passes through.  Repeated rows are classified one by one, alike.  A tie between centroids goes to the
@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import col, map_slices
 
 BITS = 12
 DIM = 1 << BITS
@@ -83,7 +83,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
                 n += int((length > 0).sum())
         yield pa.RecordBatch.from_pydict({"term": pa.array(np.arange(DIM + 1), pa.int32()), "n": pa.array(np.append(df, n), pa.int64())})
 
-    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(col(text_col).alias("t")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(DIM + 1, np.int64)
     for r in rows:
         out[r["term"]] = r["n"]
@@ -105,25 +105,22 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return m
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", clusters: int = 4, max_train: int = 400, quantile: float = 0.99, slack: float = 0.15) -> Model:
-    """max_train: labelled rows per language for the centroids; no other limit depends on the size of the table.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", clusters: int = 4, max_train: int = 400, max_languages: int = 200, quantile: float = 0.99, slack: float = 0.15) -> Model:
+    """max_train: different labelled texts per language for the centroids, max_languages: languages learnt, those of most rows; they bound what the driver gets.
     A distance limit is the quantile of the training distances of its length band, and `slack` of the way from there to 1."""
     df, n = document_frequencies(docs, text_col)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + 1
-    named = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and t is not null and length(t) > 0")
-    keyed = named.select("l", "t", F.xxhash64("t").alias("h"))
-    # per language the max_train smallest hashes; max_by-style partial aggregation keeps one bounded heap per language
-    from pyspark.sql import Window
-
-    langs = [r["l"] for r in named.select("l").distinct().orderBy("l").collect()]
-    del keyed
+    named = docs.select(col(text_col).alias("t"), col(lang_col).alias("l")).where("l is not null and t is not null and length(t) > 0")
+    counted = named.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages)
+    langs = sorted(r["l"] for r in counted.collect())
+    # the max_train smallest hashes of each language; a text that is repeated counts once and is fetched once
     pick = named.select("l", F.xxhash64("t").alias("h")).distinct()
-    cut = pick.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") == max_train).select("l", "h").collect()
+    cut = pick.where(F.col("l").isin(langs)).withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") == max_train).select("l", "h").collect()
     top = {r["l"]: r["h"] for r in cut}
     within = F.lit(False)
     for lang in langs:
         within = within | ((F.col("l") == F.lit(lang)) & (F.xxhash64("t") <= F.lit(top[lang]) if lang in top else F.col("l") == F.lit(lang)))
-    sample = named.where(within).select("l", "t").collect() if langs else []
+    sample = named.where(within).select("l", "t", F.xxhash64("t").alias("h")).dropDuplicates(["l", "h"]).select("l", "t").collect() if langs else []
     cents, owner, limits, kept = [], [], [], []
     own: dict[str, set[str]] = {}
     for r in sample:
@@ -171,7 +168,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         lang, d, rejected = classify(model, b.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(np.round(d, 6), pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_id", "distance", "rejected"])
 
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    df = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("t"))
     return map_slices(df, run, "doc_id long, lang_id string, distance double, rejected boolean", 256)
 
 

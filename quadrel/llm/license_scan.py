@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import col, map_slices
 from .license_rules import RULES as TABLE
 
 SCHEMA = "doc_id long, license string, rule string, priority int, begin int, end int, matched string"
@@ -81,7 +81,7 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id
     """A row for each detection."""
     rules = RULES if rules is None else rules
     holder: list[Scanner] = []
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    d = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("t"))
     # one automaton of all roots passes over the text once
     gate = "|".join(re.escape(k) for k in roots(rules))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import col, map_slices
 
 ORDER, LAMBDA, WIDTH, POWER, GATE, BUCKETS = 3, 0.75, 26, 4, 0.45, 512
 SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+|\s\|\s")
@@ -309,9 +309,9 @@ def fit_rows(rows: list[tuple[str | None, int | None]], landmarks: int = 48, rou
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 4000, landmarks: int = 48) -> Model:
     """max_train: the number of labelled documents that the machine learns from."""
-    ids = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
+    ids = labels.select(col(id_col).alias("i"), col(label_col).alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
     pick = ids.orderBy(F.xxhash64("i"), "i").limit(max_train)  # the bound of the sample; ids only are sorted
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(pick), "i").select("i", "t", "y").collect()
+    rows = docs.select(col(id_col).alias("i"), col(text_col).alias("t")).join(F.broadcast(pick), "i").select("i", "t", "y").collect()
     return fit_rows([(r["t"], r["y"]) for r in sorted(rows, key=lambda r: (r["i"], r["t"] or ""))], landmarks)
 
 
@@ -348,7 +348,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         best, hits, toxic = judge(holder[0], b.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.float64()), pa.array(hits, pa.int32()), pa.array(toxic, pa.bool_())], ["doc_id", "score", "hits", "toxic"])
 
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    df = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("t"))
     return map_slices(df, run, "doc_id long, score double, hits int, toxic boolean", 512)
 
 
