@@ -38,16 +38,112 @@ def empty(spark):
     return _frame(spark, [])
 
 
+def _aligned(a, b):
+    """Patience diff, written plainly: (positions in a, positions in b) of aligned lines."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in _aligned(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return _aligned(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    once = [(a.index(x), b.index(x)) for x in a if a.count(x) == 1 == b.count(x)]
+    best = []
+    for k, (_, j) in enumerate(once):
+        best.append(max((best[m] for m in reversed(range(k)) if once[m][1] < j), key=len, default=[]) + [once[k]])  # of equally long chains the latest
+    chain = max(reversed(best), key=len, default=[])
+    out, at = list(chain), (-1, -1)
+    for p in [*chain, (len(a), len(b))] if chain else []:
+        out += [(i + at[0] + 1, j + at[1] + 1) for i, j in _aligned(a[at[0] + 1 : p[0]], b[at[1] + 1 : p[1]])]
+        at = p
+    return sorted(out)
+
+
+def _dedup_by_hand(rows, anchor=8, block=20, rare=100):
+    """Texts left: every line of every run that an earlier document holds, and long runs of lines aligned with the first holder of a rare key."""
+    lines = {i: [x.strip() for x in t.split("\n")] for i, t in rows if i is not None and t}
+    words = lambda xs: sum(len(x.split()) for x in xs)
+    spans = {}  # every document's least stretches of block words, on from a line and back from it
+    for i, b in lines.items():
+        on = [x for x in b if x]
+        spans[i] = set()
+        for p in range(len(on)):
+            for cut in ([on[p:q] for q in range(p + 1, len(on) + 1)], [on[q : p + 1] for q in range(p, -1, -1)]):
+                if least := next((c for c in cut if words(c) >= block), None):
+                    spans[i].add((p if least[0] is on[p] and cut[0] == on[p : p + 1] and on[p : p + len(least)] == least else p + 1 - len(least), tuple(least)))
+    out = []
+    for i, t in rows:
+        if i not in lines:
+            out.append(t)
+            continue
+        b, gone = lines[i], set()
+        on = [q for q, x in enumerate(b) if x]
+        earlier = [m for m in lines if m < i]
+        for m in earlier:
+            a = [x for x in lines[m] if x]
+            for p in range(len(a)):
+                for q in range(len(on)):
+                    k = 0
+                    while p + k < len(a) and q + k < len(on) and a[p + k] == b[on[q + k]]:
+                        k += 1
+                    if words(a[p : p + k]) >= block:
+                        gone |= set(range(on[q], on[q + k - 1] + 1))
+        keys = {(x,) for x in b if len(x.split()) >= anchor} | {s for _, s in spans[i]}
+        partners = set()
+        for key in keys:
+            have = {m: max(1 if len(key) == 1 and key[0] in lines[m] else 0, sum(s == key for _, s in spans[m])) for m in lines}
+            if sum(have.values()) <= rare and (f := min(m for m in have if have[m])) != i:
+                partners.add(f)
+        for m in partners:
+            hit = {q for _, q in _aligned(lines[m], b) if b[q]}
+            run = []
+            for q in range(len(b) + 1):
+                if q < len(b) and (q in hit or (run and not b[q])):
+                    run.append(q)
+                    continue
+                while run and run[-1] not in hit:
+                    run.pop()
+                if words(b[q] for q in run) >= block:
+                    gone |= set(run)
+                run = []
+        out.append("\n".join(x for q, x in enumerate(t.split("\n")) if q not in gone))
+    return out
+
+
 def test_line_dedup_equals_brute_force(docs, empty):
     rows = [r for r in _rows() if not (r[0] in (2, 41))]  # distinct ids
     got = line_dedup.dedup_lines(docs.where("doc_id is null or doc_id not in (2, 41)"))
     assert got.columns == [*docs.columns, "lines_removed"]
-    want = sorted((-1 if i is None else i, t or "") for (i, _), t in zip(rows, line_dedup.brute_force(rows)))
+    want = sorted((-1 if i is None else i, t or "") for (i, _), t in zip(rows, _dedup_by_hand(rows)))
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in got.collect()) == want
     assert line_dedup.dedup_lines(docs).count() == docs.count()
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("rare", [3, 100])
+def test_line_dedup_of_mixed_lines_equals_brute_force(spark, rare):
+    rng = random.Random(21)
+    pool = [_line(rng, n) + f" {k}" for k, n in enumerate([2, 3, 5, 7, 8, 9, 12, 18, 25] * 4)]
+    rows = []
+    for i in range(40):
+        at = rng.randrange(len(pool))
+        part = pool[at : at + rng.randint(2, 9)]
+        if rng.random() < 0.4:
+            part.insert(rng.randrange(len(part)), rng.choice(["", "new " + str(i)]))
+        rows.append((i, "\n".join([f"head {i}", *part, f"tail {i}", *rng.sample(pool, 2)])))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(_frame(spark, rows), rare=rare).collect()}
+    assert got == {i: t for (i, _), t in zip(rows, _dedup_by_hand(rows, rare=rare))}
+
+
+def test_line_dedup_judges_each_pair_by_itself_and_keeps_odd_columns(spark):
+    rng = random.Random(4)
+    a, b = [_line(rng, 6) + f" a{k}" for k in range(2)], [_line(rng, 6) + f" b{k}" for k in range(2)]
+    rows = [(1, "\n".join(["one", *a, "first"]), 1, "x"), (2, "\n".join(["two", *b, "second"]), 2, "y"), (3, "\n".join([*a, *b]), 3, "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, lines_removed string")
+    got = line_dedup.dedup_lines(d)
+    assert got.columns == [*d.columns, "lines_removed_"]
+    assert sorted((r[0], r[1], r[4]) for r in got.collect()) == [(i, t, 0) for i, t, _, _ in rows]
+
+
 def test_line_dedup_finds_blocks_of_short_lines_and_behind_a_first_holder(spark):
     rng = random.Random(8)
     verse = [_line(rng, 6) + f" v{k}" for k in range(10)]
@@ -58,7 +154,7 @@ def test_line_dedup_finds_blocks_of_short_lines_and_behind_a_first_holder(spark)
     ]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(_frame(spark, rows)).collect()}
     assert got == dict(rows) | {2: "two\nsecond", 5: "far\nnear"}
-    assert line_dedup.brute_force(rows) == [got[i] for i, _ in rows]
+    assert _dedup_by_hand(rows) == [got[i] for i, _ in rows]
 
 
 def test_line_dedup_takes_copies_alike_and_leaves_the_first(docs):
@@ -190,6 +286,21 @@ def test_url_filter(spark, mb):
     assert url_filter.apply_filter(none, cascade, n, broadcast_mb=mb).count() == 0
 
 
+@pytest.mark.parametrize("mb", [64, 0])
+def test_url_filter_keeps_large_and_null_ids(spark, mb):
+    ids = [2**60 + 1, 2**60 + 3, None, 2**60 + 5]
+    pages = spark.createDataFrame([(i, f"http://spam-farm.example.org/{n % 2}") for n, i in enumerate(ids)], "page_id long, url string")
+    cascade, n = url_filter.build(pages, bucket_keys=1)
+    got = url_filter.apply_filter(pages, cascade, n, broadcast_mb=mb, group_rows=1).collect()
+    assert sorted((r["page_id"] or 0, r["listed"]) for r in got) == [(i, True) for i in (0, 2**60 + 1, 2**60 + 3, 2**60 + 5)]
+
+
+def test_packing_keeps_large_and_null_ids_and_odd_columns(spark):
+    d = spark.createDataFrame([(2**60 + 1, "a b", 1), (2**60 + 2, "c", 2), (None, "d e", 3), (5, "f", 4), (5, "f", 4)], "doc_id long, text string, `a.b` int")
+    bins = packing.pack(d, capacity=4).collect()
+    assert sorted(i or 0 for r in bins for i in r["doc_ids"]) == [0, 5, 5, 2**60 + 1, 2**60 + 2] and sum(r["fill"] for r in bins) == 7
+
+
 def test_packing(spark, docs, empty):
     bins = packing.pack(docs, capacity=100).collect()
     total = sum(len((t or "").split()) for _, t in _rows())
