@@ -5,8 +5,8 @@ passes (successive approximation), end-of-band runs and restart intervals; basel
 are dequantised, transformed back by two matrix products over all blocks at once, chroma is repeated to full resolution, and YCbCr
 (or grey) becomes RGB of full resolution.
 
-Defined results: null bytes give null pixels and null error; empty, damaged, truncated or unsupported files (12 bits, arithmetic coding, four components) give
-null pixels and the reason in `error`.  A null id passes through; repeated rows are decoded each.  Only the id and bytes columns are read.
+Defined results: null bytes give null pixels and null error; empty, damaged, truncated or unsupported files (12 bits, arithmetic coding, four components), and pictures of more
+than `max_pixels`, give null pixels and the reason in `error`.  A null id passes through; repeated rows are decoded each.  Only the id and bytes columns are read.
 
 `encode` writes progressive files (used to make media columns from tables without images, and in tests).
 """
@@ -20,13 +20,14 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import col, map_slices
 
 _ZZ = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8) if (i // 8 + i % 8) % 2 else i % 8))
 ZIGZAG = np.array(_ZZ)
 COS = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+#: A picture of more pixels is reported as an error: its header alone would claim the memory for it.
+MAX_PIXELS = 1 << 24
 SCHEMA = "id long, height int, width int, channels int, pixels binary, error string"
 
 
@@ -104,24 +105,24 @@ def _scan(frame: dict, comps: list, ss: int, se: int, ah: int, al: int, dc: list
             for c, i in units:
                 for v in range(c.v if whole else 1):
                     for h in range(c.h if whole else 1):
-                        block = c.coef[my * c.v + v][mx * c.h + h] if whole else c.coef[my][mx]
+                        block, base = c.flat, 64 * ((my * c.v + v) * c.across + mx * c.h + h if whole else my * c.across + mx)
                         if frame["kind"] != 2:
                             pred[i] += bits.signed(bits.symbol(dc[i]))
-                            block[0] = pred[i]
-                            _first(block, bits, ac[i], 1, 63, 0, 0)
+                            block[base] = pred[i]
+                            _first(block, base, bits, ac[i], 1, 63, 0, 0)
                         elif ss == 0:
                             if ah == 0:
                                 pred[i] += bits.signed(bits.symbol(dc[i]))
-                                block[0] = pred[i] << al
+                                block[base] = pred[i] << al
                             elif bits.take(1):
-                                block[0] |= 1 << al
+                                block[base] |= 1 << al
                         elif ah == 0:
-                            run = _first(block, bits, ac[i], ss, se, al, run)
+                            run = _first(block, base, bits, ac[i], ss, se, al, run)
                         else:
-                            run = _refine(block, bits, ac[i], ss, se, al, run)
+                            run = _refine(block, base, bits, ac[i], ss, se, al, run)
 
 
-def _first(block: list[int], bits: Bits, table: list[int], ss: int, se: int, al: int, run: int) -> int:
+def _first(block: memoryview, base: int, bits: Bits, table: list[int], ss: int, se: int, al: int, run: int) -> int:
     if run:
         return run - 1
     k = ss
@@ -132,7 +133,7 @@ def _first(block: list[int], bits: Bits, table: list[int], ss: int, se: int, al:
             k += r
             if k > se:
                 raise Broken("band overrun")
-            block[_ZZ[k]] = bits.signed(s) * (1 << al)
+            block[base + _ZZ[k]] = bits.signed(s) * (1 << al)
             k += 1
         elif r == 15:
             k += 16
@@ -141,7 +142,7 @@ def _first(block: list[int], bits: Bits, table: list[int], ss: int, se: int, al:
     return 0
 
 
-def _refine(block: list[int], bits: Bits, table: list[int], ss: int, se: int, al: int, run: int) -> int:
+def _refine(block: memoryview, base: int, bits: Bits, table: list[int], ss: int, se: int, al: int, run: int) -> int:
     plus, k = 1 << al, ss
     if not run:
         while k <= se:
@@ -154,7 +155,7 @@ def _refine(block: list[int], bits: Bits, table: list[int], ss: int, se: int, al
                 run = (1 << r) + (bits.take(r) if r else 0)
                 break
             while k <= se:
-                z = _ZZ[k]
+                z = base + _ZZ[k]
                 c = block[z]
                 if c:
                     if bits.take(1) and not abs(c) & plus:
@@ -169,7 +170,7 @@ def _refine(block: list[int], bits: Bits, table: list[int], ss: int, se: int, al
                 k += 1
     if run:
         while k <= se:
-            z = _ZZ[k]
+            z = base + _ZZ[k]
             c = block[z]
             if c and bits.take(1) and not abs(c) & plus:
                 block[z] = c + plus if c > 0 else c - plus
@@ -178,7 +179,7 @@ def _refine(block: list[int], bits: Bits, table: list[int], ss: int, se: int, al
     return run
 
 
-def decode(data: bytes) -> np.ndarray:
+def decode(data: bytes, max_pixels: int = MAX_PIXELS) -> np.ndarray:
     """(height, width, 3) of uint8."""
     if len(data) < 4 or data[:2] != b"\xff\xd8":
         raise Broken("not a JPEG file")
@@ -230,8 +231,12 @@ def decode(data: bytes) -> np.ndarray:
                 raise Broken("bad sampling")
             hmax, vmax = max(c.h for c in comps), max(c.v for c in comps)
             frame = {"kind": m & 15, "h": h, "w": w, "hmax": hmax, "vmax": vmax, "mcu_x": -(-w // (8 * hmax)), "mcu_y": -(-h // (8 * vmax))}
+            if h * w > max_pixels:
+                raise Broken("too many pixels")
             for c in comps:
-                c.coef = [[[0] * 64 for _ in range(frame["mcu_x"] * c.h)] for _ in range(frame["mcu_y"] * c.v)]
+                c.across, c.down = frame["mcu_x"] * c.h, frame["mcu_y"] * c.v
+                c.coef = np.zeros((c.down, c.across, 8, 8), np.int32)
+                c.flat = memoryview(c.coef.reshape(-1))
         elif m in (0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF):
             raise Broken("unsupported coding")
         elif m == 0xDA:
@@ -282,9 +287,8 @@ def decode(data: bytes) -> np.ndarray:
             raise Broken("missing quantisation table")
         q = np.zeros(64, np.int64)
         q[ZIGZAG] = quant[c.tq]
-        x = (np.array(c.coef, np.int64) * q).reshape(len(c.coef), len(c.coef[0]), 8, 8).astype(float)
-        px = COS.T @ x @ COS + 128
-        plane = np.clip(np.rint(px), 0, 255).transpose(0, 2, 1, 3).reshape(8 * len(c.coef), 8 * len(c.coef[0]))
+        px = COS.T @ (c.coef * q.reshape(8, 8).astype(float)) @ COS + 128
+        plane = np.clip(np.rint(px), 0, 255).transpose(0, 2, 1, 3).reshape(8 * c.down, 8 * c.across)
         plane = np.repeat(np.repeat(plane, frame["vmax"] // c.v, 0), frame["hmax"] // c.h, 1)
         planes.append(plane[: frame["h"], : frame["w"]])
     return to_rgb(planes)
@@ -449,7 +453,7 @@ def encode(rgb: np.ndarray, quality: int = 8, subsample: bool = True) -> bytes:
     return out + b"\xff\xd9"
 
 
-def decode_column(media: DataFrame, id_col: str = "id", bytes_col: str = "jpeg") -> DataFrame:
+def decode_column(media: DataFrame, id_col: str = "id", bytes_col: str = "jpeg", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """(id, height, width, channels, pixels, error) of every row; pixels in rows of RGB bytes."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -458,18 +462,18 @@ def decode_column(media: DataFrame, id_col: str = "id", bytes_col: str = "jpeg")
             got: tuple = (None, None, None, None, None)
             if data is not None:
                 try:
-                    x = decode(bytes(data))
+                    x = decode(bytes(data), max_pixels)
                     got = (x.shape[0], x.shape[1], 3, x.tobytes(), None)
                 except Broken as e:
                     got = (None, None, None, None, str(e))
-                except (IndexError, ValueError, OverflowError):
+                except (IndexError, ValueError, OverflowError, MemoryError):
                     got = (None, None, None, None, "damaged")
             for c, v in zip(cols, got):
                 c.append(v)
         types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
         return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], ["id", "height", "width", "channels", "pixels", "error"])
 
-    return map_slices(media.select(F.col(id_col).cast("long").alias("id"), F.col(bytes_col).cast("binary").alias("jpeg")), run, SCHEMA, 64)
+    return map_slices(media.select(col(id_col).cast("long").alias("id"), col(bytes_col).cast("binary").alias("jpeg")), run, SCHEMA, 64)
 
 
 def picture(vector: np.ndarray) -> np.ndarray:
@@ -495,4 +499,4 @@ def media_of_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         files = [None if v is None else encode(picture(np.array([np.nan if x is None else x for x in v] or [0.0]))) for v in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.binary())], ["id", "jpeg"])
 
-    return map_slices(table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), run, "id long, jpeg binary", 64)
+    return map_slices(table.select(col(id_col).cast("long").alias("id"), col(vector_col).alias("v")), run, "id long, jpeg binary", 64)

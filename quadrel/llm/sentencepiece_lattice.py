@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import dropped, scratch_path, write, written
+from .common import col, dropped, free_name, scratch_path, write, written
 
 SPACE = "▁"
 MASK_CHARS = 60
@@ -246,7 +246,7 @@ def fold_viterbi(edges: DataFrame, unknown: float) -> DataFrame:
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, t, file, row) of docs; a table that isn't read straight from Parquet is written first."""
-    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")]
+    cols = [col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("t")]
     where = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     try:
         return docs.select(*cols, *where)
@@ -403,10 +403,10 @@ def encode(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
 
 
 def decode(df: DataFrame, model: Model | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """df with the text of each array of ids; null for null."""
+    """df with the text of each array of ids; null for null.  If df has a column of the name out_col, a `_` is added."""
     model = model or load()
     surface = model.surface()
-    at = df.columns.index(ids_col)
+    at, out_col = df.columns.index(ids_col), free_name(df, out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -168,6 +168,14 @@ def test_jpeg_picture_of_a_vector_holds_all_values_in_several_mcus():
     assert out.shape == whole.shape and np.abs(out.astype(int) - whole).mean() < 25
 
 
+def test_jpeg_header_of_too_many_pixels_is_reported():
+    data = bytearray(progressive_jpeg.encode(np.full((20, 20, 3), 100, np.uint8)))
+    at = data.index(b"\xff\xc2") + 5
+    data[at : at + 4] = b"\xff" * 4
+    with pytest.raises(progressive_jpeg.Broken, match="too many pixels"):
+        progressive_jpeg.decode(bytes(data))
+
+
 def test_jpeg_damage_is_reported():
     data = progressive_jpeg.encode(np.full((20, 20, 3), 100, np.uint8))
     for bad in (b"", b"xx", data[:60], data[:-2], data[: len(data) // 2]):
