@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .porter import stem
 
-#: A short default list; files of one word a line replace it (sources.files.read_words).
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+#: The default list, by length; files of one word a line replace it (sources.files.read_words).
+STOP_WORDS = tuple(
+    """
+    a b c d e i m n o p r s t u w x y da ha la na ya be de he je ke le me re se te ve we if of ah eh oh di hi mi ni si ok al el ll am em im pm um an en in on do go lo no
+    so to yo up dr mr or ur as es is os us vs at it nt tu yu by my yea tha uma had did and und see she the die one are use que off big ich deh smh del all lol him com
+    can ain con don isn own nao ago who too two far her for por our das has las mas was yes his pls los its wat abt get let yet bit hit dnt got lot not but out meu you
+    saw few how now btw thx may say way yay hey why any try haha para need used find kind hard once made hehe make take like same time come some mine done type here were
+    more sure else true have give half yeah each much wish with both back fuck talk look real tell well will them from than hadn didn been seen then when aren even goin
+    hasn wasn down como also into keep stop near ever over your does goes this ours less miss gets says that what left wait cant want aint dont last most just must bout
+    next know okay away they only many very minha wanna gonna gotta could would since while whole there where these those cause stuff being thing doing going using which
+    watch check thank think still haven again doesn hello under other later after never their makes times looks guess thats whats great right didnt first about ready
+    every sorry hahaha should behind around little anyone before please myself making taking coming during having trying though couldn wouldn lookin theres things thanks
+    others doesnt almost really pretty someone because nothing fucking talking looking waiting through shouldn between another against without already anybody finally
+    everyone yourself anything together shouldnt actually something sometimes everything themselves
+    """.split()
+)
 WORD = r"[\p{L}\p{Nd}]+"
 REF = "@"
 
@@ -19,10 +35,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def terms(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Words of ASCII letters, digits and _ only, in lower case, without stop words."""
-    low = F.transform(F.filter(words(text), lambda w: w.rlike("^[a-zA-Z0-9_]+$")), F.lower)
-    return F.filter(low, lambda w: ~w.isin(*stop)) if stop else low
+def ascii_only(ws: Column) -> Column:
+    """The words of ASCII letters, digits and _ only."""
+    return F.filter(ws, lambda w: w.rlike("^[a-zA-Z0-9_]+$"))
+
+
+def lowered(ws: Column) -> Column:
+    return F.transform(ws, F.lower)
+
+
+def without(stop: tuple[str, ...]):
+    """A step that drops stop words."""
+    return lambda ws: F.filter(ws, lambda w: ~w.isin(*stop)) if stop else ws
+
+
+def chained(*steps):
+    """Steps on arrays of words, one after the other: a term processor that can stand for a list of stop words in every builder of tokens."""
+    return lambda ws: reduce(lambda x, f: f(x), steps, ws)
+
+
+def terms(text: Column, stop=STOP_WORDS) -> Column:
+    """Words of ASCII letters, digits and _ only, in lower case, without stop words; or what another processor (chained) makes of the words."""
+    return (stop if callable(stop) else chained(ascii_only, lowered, without(stop)))(words(text))
 
 
 def is_ref(term: Column) -> Column:

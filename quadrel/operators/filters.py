@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analyze import rewritten
-from ..sources.quads import RDF_TYPE, _kind, _text
+from ..sources.quads import _kind, _text
 from .model import MAX_ELEMENT, MAX_RELATION
 
 RDF, RDFS, OWLNS = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#"
@@ -40,12 +40,6 @@ class PrefixFilter:
     lowercase: bool = False
 
 
-@dataclass
-class Ingest:
-    contexts: bool = True
-    filters: list = field(default_factory=list)
-
-
 def n3(quads: DataFrame, slot: str) -> Column:
     """The N3 of a slot of quads."""
     if slot == "o":
@@ -144,10 +138,6 @@ def indexed_fields(tokens: DataFrame) -> DataFrame:
     return tokens.where(~F.col("field").startswith("NOINDEX"))
 
 
-def is_type_only(predicate: Column) -> Column:
-    return predicate == RDF_TYPE
-
-
 def blocked(query: str, phrases: list[str]) -> bool:
     """Whether a listed phrase occurs in the query as consecutive words."""
     import re

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.store import written
+
 #: A document keeps this many relations.
 MAX_RELATIONS = 10_001
 MAX_ELEMENT, MAX_RELATION = 5_000, 10_000
@@ -37,24 +39,15 @@ def role_counts(quads: DataFrame, extra: DataFrame | None = None, contexts: bool
 
 
 def dense_ids(df: DataFrame, col: str = "text", part_rows: int = 1_000_000) -> DataFrame:
-    """df with `id`, the rank of `col` (distinct values) in byte order, from 0.  Values are cut into ranges at quantiles of a sample by hash;
-    each range is ranked on its own and offset by the sizes of those before it, so no task sees the whole."""
-    n = df.count()
-    parts = -(-n // part_rows)
-    if parts <= 1:
-        return df.withColumn("_part", F.lit(0)).withColumn("id", F.row_number().over(Window.partitionBy("_part").orderBy(col)).cast("long") - 1).drop("_part")
-    sample = sorted(r[0] for r in df.select(col).orderBy(F.xxhash64(col)).limit(64 * parts).collect())
-    cuts = sample[64::64]
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(col)))
-    cut = df.withColumn("_part", part)
-    sizes = {r["_part"]: r["count"] for r in cut.groupBy("_part").count().collect()}
-    before, at = [], 0
-    for k in range(len(cuts) + 1):
-        before.append(at)
-        at += sizes.get(k, 0)
-    offset = F.element_at(F.array(*[F.lit(b) for b in before]), F.col("_part") + 1)
-    ranked = cut.withColumn("id", F.row_number().over(Window.partitionBy("_part").orderBy(col)).cast("long") - 1 + offset)
-    return ranked.drop("_part")
+    """df with `id`, the rank of `col` (distinct values) in byte order, from 0.  The table is stored once, cut into sorted ranges of about
+    `part_rows` rows; a row's place in its range is added to the sizes of the ranges before it.  No task sees more than a range."""
+    base = written(df, "ranked")
+    parts = max(1, -(-base.count() // part_rows))
+    placed = written(base.repartitionByRange(parts, col).sortWithinPartitions(col).withColumn("_m", F.monotonically_increasing_id()), "placed")
+    part, place = F.shiftrightunsigned("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_p")).count()  # a row for each range
+    before = sizes.select(F.col("_p"), F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.withColumns({"_p": part, "_place": place}).join(F.broadcast(before), "_p").withColumn("id", F.col("_before") + F.col("_place")).select(*df.columns, "id")
 
 
 def dictionary(quads: DataFrame, extra: DataFrame | None = None, contexts: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analyze import encode_field, local_name, remove_version
@@ -68,7 +68,7 @@ def children(counted: DataFrame, subclass: DataFrame) -> DataFrame:
 def properties(domains: DataFrame, kind: str | None = None) -> DataFrame:
     """(class, property, name), of one kind if named, in order of local name."""
     d = domains if kind is None else domains.where(F.col("kind") == kind)
-    return d.select("class", "property", local_name(F.col("property")).alias("name")).distinct()
+    return d.select("class", "property", local_name(F.col("property")).alias("name")).distinct().orderBy("class", "name", "property")
 
 
 def inherited_properties(counted: DataFrame, domains: DataFrame, closed: DataFrame, kind: str | None = "data") -> DataFrame:
@@ -96,6 +96,12 @@ def class_stats(counted: DataFrame, subclass: DataFrame, domains: DataFrame, clo
     return out.select("class", local_name(F.col("class")).alias("local_name"), "count", "label", F.coalesce("properties", none).alias("properties"), F.coalesce("children", none).alias("children"))
 
 
+def in_order(counted: DataFrame, by: str = "count") -> DataFrame:
+    """counted with `place`, from 1: by count, the largest first, or by local name; equals by IRI.  An ontology's classes are a small table."""
+    key = [F.desc("count"), F.col("class")] if by == "count" else [local_name(F.col("class")), F.col("class")]
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(*key)).cast("long"))
+
+
 def tree(stats: DataFrame) -> str:
     """The classes as an indented text, for people; statistics of an ontology are a small table."""
     rows = {r["class"]: r for r in stats.collect()}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 1e-6
@@ -37,11 +38,33 @@ def idf(term_stats: DataFrame, n_docs: int) -> DataFrame:
     return term_stats.where("field = 'object'").select("term", F.greatest(F.lit(EPSILON), F.ln((F.lit(n_docs) - df + 0.5) / (df + 0.5))).alias("idf"))
 
 
-def score(tokens: DataFrame, sizes: DataFrame, term_stats: DataFrame, terms: list[str], fields: list[str], n_docs: int, avgdl: float, w: Weights = Weights(), matches: DataFrame | None = None, priors: DataFrame | None = None) -> DataFrame:
-    """(doc_id, score) of the documents that hold a term in one of the fields.  terms: (the query's terms); matches: (doc_id) that may
-    score; priors: (doc_id, category).  Only the terms' postings are read; the statistics of a few terms are broadcast."""
+@dataclass(frozen=True)
+class Leaf:
+    """What a query asks for: a term, all terms of a prefix, or those of a range (ends included, either may be missing), with a weight."""
+
+    kind: str
+    value: object
+    weight: float = 1.0
+
+    def holds(self, term: Column) -> Column:
+        if self.kind == "prefix":
+            return term.startswith(self.value)
+        if self.kind == "range":
+            lo, hi = self.value
+            return (F.lit(True) if lo is None else term >= lo) & (F.lit(True) if hi is None else term <= hi)
+        return term == self.value
+
+
+def score(tokens: DataFrame, sizes: DataFrame, term_stats: DataFrame, terms: list[str | Leaf], fields: list[str], n_docs: int, avgdl: float, w: Weights = Weights(), matches: DataFrame | None = None, priors: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score) of the documents that hold a term in one of the fields.  terms: what the query asks for; a leaf's weight
+    multiplies the contribution of its terms (of several leaves that hold a term the largest counts); matches: (doc_id) that may score; priors: (doc_id, category).
+    Only the postings asked for are read; the statistics of single terms, which are few, are broadcast, those of prefixes and ranges joined."""
+    leaves = [x if isinstance(x, Leaf) else Leaf("term", x) for x in terms]
+    single = [x.value for x in leaves if x.kind == "term"]
+    wanted = reduce(lambda a, b: a | b, [x.holds(F.col("term")) for x in leaves if x.kind != "term"] + ([F.col("term").isin(*single)] if single else []))
+    factor_of = reduce(lambda acc, x: F.when(x.holds(F.col("term")), F.lit(float(x.weight))).otherwise(acc), sorted(leaves, key=lambda x: x.weight), F.lit(0.0))
     weight = field_weights(fields, w)
-    t = tokens.where(F.col("term").isin(*terms) & F.col("field").isin(*fields))
+    t = tokens.where(wanted & F.col("field").isin(*fields))
     if matches is not None:
         t = t.join(matches, "doc_id", "left_semi")
     count = t.groupBy("doc_id", "term", "field").agg(F.count(F.lit(1)).alias("n"))
@@ -52,9 +75,9 @@ def score(tokens: DataFrame, sizes: DataFrame, term_stats: DataFrame, terms: lis
     for f, x in weight.items():
         wf = F.when(F.col("field") == f, F.lit(x)).otherwise(wf)
     vc = c.groupBy("doc_id", "term").agg(F.sum(F.col("n") * wf / norm).alias("vc"))
-    few = idf(term_stats.where(F.col("term").isin(*terms)), n_docs)  # a row for each term of the query
-    s = vc.join(F.broadcast(few), "term", "left")
-    one = F.coalesce("idf", F.lit(0.0)) * F.lit(w.k1 + 1) * F.col("vc") / (F.col("vc") + F.lit(w.k1))
+    asked = idf(term_stats.where(wanted), n_docs)
+    s = vc.join(F.broadcast(asked) if len(single) == len(leaves) else asked, "term", "left")
+    one = factor_of * F.coalesce("idf", F.lit(0.0)) * F.lit(w.k1 + 1) * F.col("vc") / (F.col("vc") + F.lit(w.k1))
     total = s.groupBy("doc_id").agg(F.sum(one).alias("s"), F.sum(F.when(F.col("vc") > 0, 1).otherwise(0)).alias("m"))
     out = total.select("doc_id", (F.col("s") * w.w_matches * F.least("m", F.lit(w.max_norm)) / w.max_norm).alias("score"))
     if priors is not None:

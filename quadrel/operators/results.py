@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.analyze import remove_version
+
 DEFAULT_CONTEXT, LIMIT, SLACK = "default:", 300, 20
 
 
@@ -55,3 +57,25 @@ def items(page: DataFrame, docs: DataFrame, fields: DataFrame | None = None, lim
     told = F.nullif(F.col("link_label"), F.col("x.shown")) if deref else F.lit(None).cast("string")
     row = F.struct(F.col("k"), F.col("x.predicate").alias("predicate"), F.col("x.shown").alias("object"), F.col("link_id").alias("subject_id_of_object"), F.coalesce("x.context", F.lit(DEFAULT_CONTEXT)).alias("context"), indexed.alias("indexed"), told.alias("label"))
     return x.groupBy("subject_id", "subject", "score", "label").agg(F.sort_array(F.collect_list(F.when(F.col("k").isNotNull(), row))).alias("relations"))
+
+
+def by_field_order(items_: DataFrame, fields: list[str]) -> DataFrame:
+    """items with each row's relations in the order of the fields' list; predicates that aren't in it come first, equals keep their order."""
+    place = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]).cast("array<string>"), F.array(*[F.lit(k) for k in range(len(fields))]).cast("array<int>"))
+    keyed = F.transform("relations", lambda r: F.struct(F.coalesce(F.try_element_at(place, r["predicate"]), F.lit(-1)).alias("at"), r["k"].alias("k"), r.alias("r")))
+    return items_.withColumn("relations", F.transform(F.array_sort(keyed, lambda a, b: F.when(a["at"] != b["at"], a["at"] - b["at"]).otherwise(a["k"] - b["k"])), lambda x: x["r"]))
+
+
+def grouped_relations(items_: DataFrame) -> DataFrame:
+    """(subject_id, predicate, objects): relations by predicate, objects in their order."""
+    x = items_.select("subject_id", F.explode("relations").alias("r"))
+    g = x.groupBy("subject_id", F.col("r.predicate").alias("predicate")).agg(F.sort_array(F.collect_list(F.struct("r.k", "r.object"))).alias("o"))
+    return g.select("subject_id", "predicate", F.transform("o", lambda y: y["object"]).alias("objects"))
+
+
+def distinct_types(items_: DataFrame, type_predicate: str, counts: DataFrame | None = None) -> DataFrame:
+    """(subject_id, types): each subject's types without versions, each once; the rarest first by counts (name, count), then by name."""
+    x = items_.select("subject_id", F.explode("relations").alias("r")).where(F.col("r.predicate") == type_predicate).select("subject_id", remove_version(F.col("r.object")).alias("name")).distinct()
+    x = x.withColumn("count", F.lit(0).cast("long")) if counts is None else x.join(counts.select("name", "count"), "name", "left")
+    g = x.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "name"))).alias("t"))
+    return g.select("subject_id", F.transform("t", lambda y: y["name"]).alias("types"))

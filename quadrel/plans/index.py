@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from ..functions.analyze import STOP_WORDS, encode_field, local_name, short_name
 from ..operators import filters, layouts, model, ontology, rank, results
 from ..sources.quads import RDF_TYPE
 from . import query as Q
-from .store import shared_path
+from .store import delete, folders, shared_path
 
 TABLES = ("resources", "docs", "tokens", "term_stats", "doc_sizes", "alignment", "fields")
 
@@ -27,6 +28,12 @@ class Config:
     top_predicates: int = 200
     weights: rank.Weights = field(default_factory=rank.Weights)
     block_phrases: list[str] = field(default_factory=list)
+    query_filters: tuple[Callable[[str], bool], ...] = ()  # a query that one of them holds for is blocked
+    scorer: Callable[..., DataFrame] = rank.score
+    term_steps: Callable | None = None  # a processor of arrays of words (functions.analyze.chained) instead of the default steps
+    query_word: Callable[[str], str | None] | None = None  # its counterpart for a word of a query
+    layouts: tuple[str, ...] = ("horizontal", "vertical")
+    default_field: str = Q.DEFAULT_FIELD
 
 
 @dataclass
@@ -47,22 +54,26 @@ def build(quads: DataFrame, config: Config = Config(), onto: Ontology | None = N
     fields = top.where(~F.col("predicate").isin(*filters.BLACKLIST)).select("predicate", encode_field(F.col("predicate")).alias("field"), "uses")
     named = layouts.with_ids(rels, resources)
     up = ontology.ancestor_ids(ontology.closure(onto.subclass), resources) if onto else None
-    h = layouts.horizontal_tokens(named, config.stop, config.contexts).withColumn("layout", F.lit("horizontal"))
-    v = layouts.vertical_tokens(named, fields, up, config.stop).withColumn("layout", F.lit("vertical"))
-    tokens = h.unionByName(v)
+    stop = config.term_steps or config.stop
+    h = layouts.horizontal_tokens(named, stop, config.contexts).withColumn("layout", F.lit("horizontal"))
+    v = layouts.vertical_tokens(named, fields, up, stop).withColumn("layout", F.lit("vertical"))
+    tokens = h.unionByName(v) if len(config.layouts) == 2 else h if config.layouts == ("horizontal",) else v
     if config.stem:
         tokens = stemmed(tokens)
     return {"resources": resources, "docs": docs, "tokens": tokens, "fields": fields, "term_stats": layouts.term_stats(tokens), "doc_sizes": layouts.doc_sizes(h if not config.stem else tokens.where("layout = 'horizontal'")), "alignment": layouts.alignment(tokens.where("layout = 'vertical'"))}
 
 
-def save(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes the tables so that reads prune: documents and resources in ranges of id, tokens by layout and in ranges of term.  What
+def save(tables: dict[str, DataFrame], path: str, priors: DataFrame | None = None) -> None:
+    """Writes the tables so that reads prune: documents and resources in ranges of id, tokens by layout and in ranges of term
+    and document, so that a frequent term is spread.  What
     follows from tokens is made from the stored table."""
     spark = next(iter(tables.values())).sparkSession
     tables["resources"].repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/resources")
     tables["docs"].repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/docs")
     tables["fields"].write.parquet(f"{path}/fields")
-    tables["tokens"].repartitionByRange("layout", "term").sortWithinPartitions("layout", "term", "field", "doc_id", "pos").write.partitionBy("layout").parquet(f"{path}/tokens")
+    tables["tokens"].repartitionByRange("layout", "term", "doc_id").sortWithinPartitions("layout", "term", "field", "doc_id", "pos").write.partitionBy("layout").parquet(f"{path}/tokens")
+    if priors is not None:
+        priors.select("doc_id", "category").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/priors")
     t = spark.read.parquet(f"{path}/tokens")
     layouts.term_stats(t).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/term_stats")
     layouts.doc_sizes(t.where("layout = 'horizontal'")).write.parquet(f"{path}/doc_sizes")
@@ -91,14 +102,37 @@ class Index:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, config: Config = Config(), onto: Ontology | None = None, priors: DataFrame | None = None) -> Index:
-        return cls({t: spark.read.parquet(f"{path}/{t}") for t in TABLES}, config, onto, priors)
+        """priors stored with the index count unless others are given."""
+        if priors is None and "priors" in folders(spark, path):
+            priors = spark.read.parquet(f"{path}/priors")
+        out = cls({t: spark.read.parquet(f"{path}/{t}") for t in TABLES}, config, onto, priors)
+        out.path = path
+        return out
 
     @classmethod
     def built(cls, quads: DataFrame, config: Config = Config(), onto: Ontology | None = None, priors: DataFrame | None = None) -> Index:
         """Builds an index, stores it in the shared folder and opens it."""
         path = shared_path(quads.sparkSession, "index")
-        save(build(quads, config, onto), path)
-        return cls.open(quads.sparkSession, path, config, onto, priors)
+        save(build(quads, config, onto), path, priors)
+        return cls.open(quads.sparkSession, path, config, onto)
+
+    def destroy(self) -> None:
+        """Deletes the stored tables."""
+        delete(next(iter(self.t.values())).sparkSession, self.path)
+
+    def documents(self) -> DataFrame:
+        """All documents in order of id."""
+        return self.t["docs"].orderBy("id")
+
+    def titles(self) -> DataFrame:
+        """(id, title): what every resource is called, also those without content."""
+        return self.t["resources"].select("id", F.col("text").alias("title"))
+
+    def document_or_title(self, id_: int) -> DataFrame:
+        """The document; for a resource without content a document of its title alone."""
+        d = self.t["docs"]
+        bare = self.t["resources"].where(F.col("id") == id_).join(d.where(F.col("id") == id_).select("id"), "id", "left_anti")
+        return self.document(id_).unionByName(bare.select("id", F.lit(-1).cast("long").alias("previous_id"), F.col("text").alias("subject"), F.array().cast(d.schema["relations"].dataType).alias("relations")))
 
     def reconfigure(self, config: Config) -> None:
         self.config = config
@@ -135,13 +169,13 @@ class Index:
 
     def parse(self, text: str, mode: str = "free") -> Q.Node:
         """mode free analyses and rewrites; raw takes the text as it is, in the default field."""
-        if filters.blocked(text, self.config.block_phrases):
+        if filters.blocked(text, self.config.block_phrases) or any(f(text) for f in self.config.query_filters):
             raise Q.QueryError("the query is blocked")
         text = Q.encode_resources(Q.decode_entities(text), self.ids_of(Q.resource_names(text)))
         raw = mode == "raw"
-        node = Q.Parser(self.config.stop, self.config.stem, {} if raw else {**self.aliases, **{p: f for p, f in self.fields.items()}}, raw)(text)
+        node = Q.Parser(self.config.stop, self.config.stem, {} if raw else {**self.aliases, **{p: f for p, f in self.fields.items()}}, raw, self.config.query_word)(text)
         if raw:
-            return Q.Node("in", (node,), (Q.DEFAULT_FIELD,)) if node.kind in ("term", "phrase", "prefix", "range") else node
+            return Q.Node("in", (node,), (self.config.default_field,)) if node.kind in ("term", "phrase", "prefix", "range") else node
         bare = sorted(Q.bare_terms(node))
         align: dict[str, list[str]] = {}
         if bare:
@@ -159,9 +193,8 @@ class Index:
         leaves = Q.positive_leaves(node)
         if Q.type_only(node) or not leaves:
             return found.select("doc_id", F.lit(1.0).alias("score"))
-        fields = sorted({f for _, fs, _ in leaves for f in (fs or [Q.DEFAULT_FIELD])})
-        terms = sorted({t for t, _, _ in leaves})
-        s = rank.score(self.t["tokens"], self.t["doc_sizes"], self.t["term_stats"], terms, fields, self.n, self.avgdl, self.config.weights, found, self.priors)
+        fields = sorted({f for _, fs in leaves for f in (fs or [Q.DEFAULT_FIELD])})
+        s = self.config.scorer(self.t["tokens"], self.t["doc_sizes"], self.t["term_stats"], list(dict.fromkeys(x for x, _ in leaves)), fields, self.n, self.avgdl, self.config.weights, found, self.priors)
         return found.join(s, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
     def search(self, text: str, start: int = 0, size: int = 10, mode: str = "free", deref: bool = True, limit: int = results.LIMIT) -> dict:

@@ -12,6 +12,7 @@ rewritten.  Stop words are dropped.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from ..functions.analyze import STOP_WORDS
 from ..functions.porter import stem
 from ..operators import algebra as A
+from ..operators.rank import Leaf
 from ..sources.quads import RDF_TYPE
 
 DEFAULT_FIELD = "object"
@@ -50,6 +52,7 @@ class Parser:
     stemmed: bool = False
     short: dict[str, str] = field(default_factory=dict)
     raw: bool = False
+    processor: Callable[[str], str | None] | None = None  # instead of the steps below: the term of a word, or nothing
 
     def __call__(self, text: str) -> Node:
         self.tokens, at = [], 0
@@ -138,6 +141,8 @@ class Parser:
     def _word(self, w: str) -> str | None:
         if self.raw or w.startswith("@"):
             return w
+        if self.processor:
+            return self.processor(w)
         if not re.fullmatch(r"[a-zA-Z0-9_]+", w) or w.lower() in self.stop:
             return None
         return stem(w.lower()) if self.stemmed else w.lower()
@@ -224,12 +229,12 @@ def bare_terms(n: Node, scoped: bool = False) -> set[str]:
     return set().union(*[bare_terms(p, scoped or n.kind in ("select", "phrase")) for p in n.parts])
 
 
-def positive_leaves(n: Node, fields: tuple | None = None, weight: float = 1.0) -> list[tuple[str, tuple | None, float]]:
-    """(term, fields, weight) of the leaves that can make a document match: not those below Not or on the right of a Difference."""
-    if n.kind == "term":
-        return [(n.value, fields, weight)]
+def positive_leaves(n: Node, fields: tuple | None = None, weight: float = 1.0) -> list[tuple[Leaf, tuple | None]]:
+    """(leaf, fields) of what can make a document match: not what is below Not or on the right of a Difference.  Weights multiply down the tree."""
+    if n.kind in ("term", "prefix", "range"):
+        return [(Leaf(n.kind, n.value, weight), fields)]
     if n.kind == "multi":
-        return [(t, fields, weight) for t in n.value]
+        return [(Leaf("term", t, weight), fields) for t in n.value]
     if n.kind == "not":
         return []
     parts = n.parts[:1] if n.kind == "diff" else n.parts

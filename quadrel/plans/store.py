@@ -1,18 +1,54 @@
-"""Paths in the folder that all executors share."""
+"""Paths and written tables in the folder that all executors share."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, or below a temporary folder where that is unset (local tests)."""
+    """A fresh path below spark.checkpoint.dir, or below a temporary folder where that is unset and all runs on this machine; deleted when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "quadrel-shared")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a stored table: what led to it isn't computed again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders in root, on any file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return sorted(s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p) if s.isDirectory())
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone at interpreter exit
+            return

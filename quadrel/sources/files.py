@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import re
 import xml.etree.ElementTree as ET
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import folders
+
 OWL, RDF, RDFS = "{http://www.w3.org/2002/07/owl#}", "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}", "{http://www.w3.org/2000/01/rdf-schema#}"
 MAX_RECORD = 1 << 20
 
@@ -46,6 +47,11 @@ def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.where("reason is null").drop("value", "reason"), d.where("reason is not null").select("value", "reason")
 
 
+def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The records of a file or folder, and rejects."""
+    return parse_records(spark.read.text(path))
+
+
 def record_line(id_: Column, previous: Column, subject: Column, relations: Column) -> Column:
     """One by-subject record as text."""
     return F.concat(F.concat_ws("\t", id_.cast("string"), previous.cast("string"), subject, F.array_join(relations, "\t")), F.when(F.size(relations) > 0, "\t").otherwise(""))
@@ -80,9 +86,9 @@ def ontology_frames(spark: SparkSession, text: str) -> tuple[DataFrame, DataFram
     )
 
 
-def discover(root: str, prefix: str = "index-") -> dict[str, str]:
-    """Data sets below root: directories named by the prefix and word characters; an error if there are none."""
-    found = {m[1]: e.path for e in os.scandir(root) if e.is_dir() and (m := re.fullmatch(re.escape(prefix) + r"(\w+)", e.name))}
+def discover(spark: SparkSession, root: str, prefix: str = "index-") -> dict[str, str]:
+    """Data sets below root, on any file system: directories named by the prefix and word characters; an error if there are none."""
+    found = {m[1]: f"{root.rstrip('/')}/{name}" for name in folders(spark, root) if (m := re.fullmatch(re.escape(prefix) + r"(\w+)", name))}
     if not found:
         raise FileNotFoundError(f"no index below {root}")
     return dict(sorted(found.items()))
