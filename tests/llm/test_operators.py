@@ -271,6 +271,14 @@ def test_topk_equals_brute_force(spark, docs, empty):
     assert topk.search(empty, q).count() == 0
 
 
+def test_topk_keeps_large_and_null_ids_and_bounds_the_queries(spark):
+    d = spark.createDataFrame([(2**60 + 1, "word one"), (2**60 + 2, "word two"), (None, "word")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "word")], "item_id long, text string")
+    assert {r["doc_id"] for r in topk.search(d, q).collect()} == {2**60 + 1, 2**60 + 2, None}
+    with pytest.raises(ValueError):
+        topk.search(d, q, max_queries=0)
+
+
 @pytest.mark.parametrize("mb", [64, 0])
 def test_url_filter(spark, mb):
     urls = ["http://spam-farm.example.org/a?utm_source=x#f", "https://www.Spam-Farm.example.org:443/a/", "http://ok.example.org/a", None, "", "no url", "http://u@sub.cheap-pills.example.com:8080/x?b=1&ref=2"]
