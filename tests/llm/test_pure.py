@@ -1,5 +1,8 @@
 """Operators' parts that need no session."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -235,3 +238,17 @@ def test_bitmaps_bound_the_overlap_from_above(a, b, common):
     words = min(len(sx), len(sy))
     bound = (len(x) + len(y) - int(np.bitwise_count(jaccard_join._fold(sx, words) ^ jaccard_join._fold(sy, words)).sum())) // 2
     assert bound >= len(set(x.tolist()) & set(y.tolist())) == jaccard_join.overlap(x, y)
+
+
+def test_jaccard_order_keeps_chance_ngrams_out_of_prefixes():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcd") if rng.random() < 0.6 else f"w{rng.randrange(10**9)}" for _ in range(120)) for _ in range(300)]
+    bits = 14  # far fewer buckets than different n-grams: the sketch of n-grams tells none of them apart
+    w, each = jaccard_join.words(texts)
+    sketch = np.bincount((w >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    g, count, info = jaccard_join.grams(w, each, 3, jaccard_join.surprise(sketch)[(w >> np.uint64(64 - bits)).astype(np.int64)])
+    g, size = jaccard_join._distinct(g, count, jaccard_join.rarity(info, sketch.sum()).astype(np.uint64))
+    at = np.r_[0, np.cumsum(size)]
+    ahead = jaccard_join.prefix_length(size, 0.6)
+    shared = lambda key: sum(n > 1 for n in Counter(x for k in range(len(texts)) for x in key(g[at[k] : at[k + 1]])[: ahead[k]].tolist()).values())
+    assert shared(lambda x: np.sort(x & jaccard_join.MASK40)) > 20 and shared(lambda x: x) == 0
