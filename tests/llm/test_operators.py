@@ -279,6 +279,31 @@ def test_topk_keeps_large_and_null_ids_and_bounds_the_queries(spark):
         topk.search(d, q, max_queries=0)
 
 
+def test_topk_query_asks_with_every_twentieth_document(spark, tmp_path):
+    from quadrel.llm import queries
+
+    rng = random.Random(12)
+    pool = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(400)]
+    texts = [" ".join(pool[int(rng.random() ** 2 * 400)] for _ in range(rng.choice([0, 3, 60, 200]))) for _ in range(125)]
+    texts[20], texts[40], texts[77] = texts[60], "abc", texts[60]
+    texts[60] = " ".join(pool[:90])
+    spark.createDataFrame([*enumerate(texts), (None, texts[60]), (-20, texts[60]), (126, None)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_topk_search(spark, str(tmp_path)).collect()
+    docs = [*enumerate(texts), (None, texts[60]), (-20, texts[60]), (126, "")]
+    from collections import Counter
+
+    tfs = [Counter(topk.tokens(t)) for _, t in docs]
+    avg = sum(c.total() for c in tfs) / len(tfs)
+    df = Counter(t for c in tfs for t in c)
+    want = []
+    for q, c in zip([d for d, _ in docs], tfs):
+        if q is not None and q % 20 == 0:
+            s = [(-round(sum(m * np.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * tf.total() / avg)) for t, m in c.items() if tf[t]), 6), d is None, d or 0) for (d, _), tf in zip(docs, tfs)]
+            want += [(q, k + 1, None if z[1] else z[2], -z[0]) for k, z in enumerate(sorted(x for x in s if x[0] < 0)[:10])]
+    key = lambda r: r[:2]
+    assert [tuple(r) for r in sorted(got, key=key)] == [pytest.approx(w, abs=2e-6) for w in sorted(want, key=key)]
+
+
 @pytest.mark.parametrize("mb", [64, 0])
 def test_url_filter(spark, mb):
     urls = ["http://spam-farm.example.org/a?utm_source=x#f", "https://www.Spam-Farm.example.org:443/a/", "http://ok.example.org/a", None, "", "no url", "http://u@sub.cheap-pills.example.com:8080/x?b=1&ref=2"]

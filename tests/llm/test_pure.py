@@ -215,6 +215,20 @@ def test_score_at_a_time_equals_full_scoring(docs, query, k):
     assert got == sorted([x for x in full if x[1] > 0], key=lambda x: (-x[1], x[0]))[:k]
 
 
+def test_topk_blocks_equal_single_queries():
+    rng = np.random.default_rng(7)
+    counts = [rng.choice(300, rng.integers(1, 120), replace=False) for _ in range(200)]
+    counts[50] = counts[51]
+    starts, terms = np.r_[0, np.cumsum([len(c) for c in counts])], np.concatenate([np.sort(c) for c in counts])
+    weight, idf = rng.integers(1, 4, len(terms)) * 0.7, rng.random(300) + 0.01
+    shard = topk.Shard(np.arange(200), weight, starts, terms, idf)
+    ask = [np.unique(rng.integers(0, 300, n)) for n in (1, 40, 90, 200)]
+    for k in (1, 10, 500):
+        for t, got in zip(ask, shard.search_block([(t, idf[t]) for t in ask], k)):
+            order = lambda x: sorted(x, key=lambda y: (-y[1], y[0]))
+            assert order(got) == order(shard.search(dict.fromkeys(t.tolist(), 1), k))
+
+
 def test_language_vectors_of_nothing():
     x, n = language_id.counts([None, "", "123 !!", "ab"])
     assert n.tolist() == [0, 0, 0, 2] and x[:3].sum() == 0
