@@ -72,6 +72,9 @@ class Model:
         self.joins = np.zeros((len(lefts) + 1, len(rights) + 1), bool)
         for a, b in pairs:
             self.joins[self.left[at[a]], self.right[at[b]]] = True
+        # by code point: the row of joins where it is the left neighbour, as an offset, and the column where it is the right one
+        self.row, self.column = (self.left.astype(np.int32) * self.joins.shape[1])[self.char_id], self.right[self.char_id]
+        self.flat = self.joins.ravel()
         self.single: dict[str, bytes] = {}
 
     def char(self, c: str) -> bytes:
@@ -90,10 +93,9 @@ class Model:
         s = ((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)) if text else ""
         if not s:
             return []
-        c = self.char_id[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        cut = np.flatnonzero(~self.joins[self.left[c[:-1]], self.right[c[1:]]]) + 1
-        at = [0, *cut.tolist(), len(s)]
-        return [s[a:b] for a, b in zip(at, at[1:])]
+        c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+        cut = (np.flatnonzero(~self.flat[self.row[c[:-1]] + self.column[c[1:]]]) + 1).tolist()
+        return [s[a:b] for a, b in zip([0, *cut], [*cut, len(s)])]
 
     def merge(self, unit: str) -> bytes:
         """BPE of one unit by a heap of candidate merges, for units too long for the mask."""
@@ -339,11 +341,24 @@ def dictionary(spark: SparkSession, rows: DataFrame, model: Model) -> str:
     return out
 
 
+class Codes(dict):
+    """ids, packed, of units; those of one character are in no dictionary and come from the model."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(unit) > 1:
+            raise KeyError(unit)
+        self[unit] = code = self.model.char(unit)
+        return code
+
+
 class Lookup:
     """One block's dictionary at a time."""
 
     def __init__(self, path: str, model: Model) -> None:
-        self.path, self.model, self.block, self.code = path, model, None, {}
+        self.path, self.model, self.block, self.code = path, model, None, Codes(model)
 
     def __call__(self, block: int) -> dict[str, bytes]:
         if block != self.block:
@@ -351,7 +366,7 @@ class Lookup:
             from pyarrow import fs
 
             system, base = fs.FileSystem.from_uri(self.path if "://" in self.path else self.path.replace("file:", "file://", 1) if self.path.startswith("file:") else "file://" + self.path)
-            self.code = {}
+            self.code = Codes(self.model)
             folder = f"{base}/block={block}"
             if system.get_file_info(folder).type == fs.FileType.Directory:
                 width = np.dtype(self.model.kind).itemsize
@@ -377,8 +392,7 @@ def _apply(rows: DataFrame, path: str, model: Model, decoded: bool) -> DataFrame
                 chunks, offsets, null, back = [], [0], [], []
                 for k, t in zip(block[s : s + 256], part.column(1).to_pylist()):
                     null.append(t is None)
-                    code, char = look(k), model.char
-                    got = np.frombuffer(b"".join([code[u] if len(u) > 1 else char(u) for u in model.units(t)]), model.kind) if t else np.zeros(0, model.kind)
+                    got = np.frombuffer(b"".join(map(look(k).__getitem__, model.units(t))), model.kind) if t else np.zeros(0, model.kind)
                     chunks.append(got)
                     offsets.append(offsets[-1] + len(got))
                     if decoded:
@@ -391,7 +405,7 @@ def _apply(rows: DataFrame, path: str, model: Model, decoded: bool) -> DataFrame
 
 
 def _text(ids: list[int], surface: list[bytes], model: Model) -> str:
-    out = b"".join([surface[i] for i in ids]).decode("utf-8", "replace")
+    out = b"".join(map(surface.__getitem__, ids)).decode("utf-8", "replace")
     return out[1:] if model.dummy_prefix and out[:1] == " " else out
 
 

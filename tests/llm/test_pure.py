@@ -266,3 +266,15 @@ def test_jaccard_order_keeps_chance_ngrams_out_of_prefixes():
     ahead = jaccard_join.prefix_length(size, 0.6)
     shared = lambda key: sum(n > 1 for n in Counter(x for k in range(len(texts)) for x in key(g[at[k] : at[k + 1]])[: ahead[k]].tolist()).values())
     assert shared(lambda x: np.sort(x & jaccard_join.MASK40)) > 20 and shared(lambda x: x) == 0
+
+
+def test_sentencepiece_units_and_codes_of_single_characters():
+    m = sentencepiece_lattice.load()
+    for text in ("The quick  brown\n fox", "x", " ", "Ω 漢字 😀\ud800", "anea" * 30, "\n\n"):
+        s = ("▁" if m.dummy_prefix else "") + text.replace(" ", "▁")
+        cut = [0] + [i for i in range(1, len(s)) if not any(s[i - 1 : i + 1] in p for p in m.usable)] + [len(s)]
+        assert m.units(text) == [s[a:b] for a, b in zip(cut, cut[1:])]
+    codes = sentencepiece_lattice.Codes(m)
+    assert all(codes[c] == m.char(c) for c in "a▁Ω😀\n")
+    with pytest.raises(KeyError):
+        codes["unknown unit"]
