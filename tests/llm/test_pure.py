@@ -229,6 +229,30 @@ def test_topk_blocks_equal_single_queries():
             assert order(got) == order(shard.search(dict.fromkeys(t.tolist(), 1), k))
 
 
+def test_topk_short_query_scores_few_documents_exactly(monkeypatch):
+    rng = np.random.default_rng(8)
+    counts = [rng.choice(60, rng.integers(10, 50), replace=False) for _ in range(3000)]
+    starts, terms = np.r_[0, np.cumsum([len(c) for c in counts])], np.concatenate([np.sort(c) for c in counts])
+    weight, idf = rng.random(len(terms)) + 0.5, rng.random(60) + 0.5
+    shard = topk.Shard(np.arange(3000), weight, starts, terms, idf)
+    asked, exact = [], shard.exact
+    monkeypatch.setattr(shard, "exact", lambda some, *rest: asked.append(len(some)) or exact(some, *rest))
+    t = np.arange(20)
+    got = sorted(shard.search(dict.fromkeys(t.tolist(), 2), 10), key=lambda x: (-x[1], x[0]))[:10]
+    full = [(i, round(float(weight[a:e][on] @ (2 * idf[terms[a:e][on]])), 6)) for i, (a, e) in enumerate(zip(starts, starts[1:])) if (on := terms[a:e] < 20).any()]
+    want = sorted(full, key=lambda x: (-x[1], x[0]))[:10]
+    assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=2e-6)
+    assert asked[0] < 100
+
+
+def test_topk_best_keeps_ties_and_rounding_errors():
+    s = np.zeros((2, 2 * topk.GROUPS), np.float32)
+    s[0, :40] = 5
+    s[1, [3, 300, 301]] = 7, np.float32(7) * (1 - 2.0**-22), 6
+    got = topk._best(s, np.array([8, 8]), 2)
+    assert got[0].tolist() == list(range(40)) and got[1].tolist() == [3, 300]
+
+
 def test_language_vectors_of_nothing():
     x, n = language_id.counts([None, "", "123 !!", "ab"])
     assert n.tolist() == [0, 0, 0, 2] and x[:3].sum() == 0
