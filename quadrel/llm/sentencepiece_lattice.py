@@ -7,6 +7,7 @@
 3. A higher-order aggregate folds each unit's lattice.  Unigram models: Viterbi, the best sum of scores over the edges in
    order of their ends.  BPE models, such as the public one: Viterbi over a BPE model's scores doesn't give the model's encoding,
    so the fold merges, step by step, the best-ranked edge that joins two current pieces; the state is a bit mask of the boundaries.
+   One pass over the edges by rank does that, but for units where a merge makes an edge of an earlier rank ready; they are folded again step by step.
    Units of more than 60 characters, whose boundaries don't fit the mask, are merged by the same rule in Python.
 4. Each block's dictionary (unit to ids) is written to the shared folder; a second pass over the texts looks units up.  Texts are never
    shuffled.
@@ -34,6 +35,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .common import col, dropped, free_name, scratch_path, write, written
 
 SPACE = "▁"
+CUT, END = "\uffff", "\ufffe"  # no characters; a text that has them all the same is cut alone
 MASK_CHARS = 60
 BLOCK_BITS = 13
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -97,6 +99,33 @@ class Model:
         cut = (np.flatnonzero(~self.flat[self.row[c[:-1]] + self.column[c[1:]]]) + 1).tolist()
         return [s[a:b] for a, b in zip([0, *cut], [*cut, len(s)])]
 
+    def splits(self, texts: list[str]) -> list[list[str]]:
+        """`units` of each text; texts are cut together, up to 64k characters at once."""
+        out: list[list[str]] = []
+        a = 0
+        while a < len(texts):
+            e, n = a + 1, len(texts[a])
+            while e < len(texts) and n + len(texts[e]) < 1 << 16:
+                n += len(texts[e])
+                e += 1
+            out += self._splits(texts[a:e])
+            a = e
+        return out
+
+    def _splits(self, texts: list[str]) -> list[list[str]]:
+        start = SPACE if self.dummy_prefix else ""
+        joined = END.join([start + t.replace(" ", SPACE) if t else "" for t in texts])
+        if CUT in joined or joined.count(END) >= len(texts) or self.char_id[[ord(CUT), ord(END)]].any():
+            return [self.units(t) for t in texts]
+        c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        end = c == ord(END)
+        cut = ~(self.flat[self.row[c[:-1]] + self.column[c[1:]]] | end[:-1] | end[1:])
+        at = np.arange(len(c))
+        at[1:] += np.cumsum(cut)
+        marked = np.full(len(c) + np.count_nonzero(cut), ord(CUT), np.uint32)
+        marked[at] = c
+        return [x.split(CUT) if x else [] for x in marked.tobytes().decode("utf-32-le", "surrogatepass").split(END)]
+
     def merge(self, unit: str) -> bytes:
         """BPE of one unit by a heap of candidate merges, for units too long for the mask."""
         import heapq
@@ -171,59 +200,82 @@ def load(path: str = DEFAULT_MODEL) -> Model:
     return Model([p.piece for p in m.pieces], [p.score for p in m.pieces], [p.type for p in m.pieces], m.trainer_spec.model_type == 2, n.add_dummy_prefix, next((i for i, p in enumerate(m.pieces) if p.type == 2), 0))
 
 
+def merge_codes(model: Model) -> dict[str, int]:
+    """For each piece of more than one character of a BPE model its rank among all scores (from bit 33), id (from bit 1), and whether merging it
+    can make an edge of an earlier rank ready (bit 0): it begins or ends a piece of that rank, whose rest is a character or a piece."""
+    score = {p: float(model.scores[i]) for p, i in model.usable.items() if len(p) > 1}
+    rank = {x: n for n, x in enumerate(sorted(set(score.values()), reverse=True))}
+    late = set()
+    for p, x in score.items():
+        for i in range(1, len(p)):
+            if all(len(y) == 1 or y in score for y in (p[:i], p[i:])):
+                late.update(y for y in (p[:i], p[i:]) if len(y) > 1 and score[y] <= x)
+    return {p: (rank[x] << 33) + (model.usable[p] << 1) + (p in late) for p, x in score.items()}
+
+
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """(piece, id, rank): rank orders merges, ascending (BPE); score is the piece's (unigram)."""
+    """(piece, id, score, code): code is that of `merge_codes` (BPE), score is the piece's (unigram)."""
     if len(model.pieces) > 1_000_000:
         raise ValueError("the piece table is too large to broadcast")
-    rows = [(p, i, float(model.scores[i])) for p, i in model.usable.items() if not model.bpe or len(p) > 1]
-    return spark.createDataFrame(pa.table({"piece": [r[0] for r in rows], "id": pa.array([r[1] for r in rows], pa.int32()), "score": pa.array([r[2] for r in rows], pa.float64())}))
+    codes = merge_codes(model) if model.bpe else {}
+    rows = [(p, i, float(model.scores[i]), codes.get(p)) for p, i in model.usable.items() if not model.bpe or len(p) > 1]
+    return spark.createDataFrame(pa.table({"piece": [r[0] for r in rows], "id": pa.array([r[1] for r in rows], pa.int32()), "score": pa.array([r[2] for r in rows], pa.float64()), "code": pa.array([r[3] for r in rows], pa.int64())}))
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int, shortest: int) -> DataFrame:
-    """(bucket, unit, edges): all substrings of units that are pieces.  units: (bucket, unit), partitioned by bucket."""
+    """(unit_no, bucket, unit, edges): all substrings of units that are pieces.  units: (bucket, unit), partitioned by bucket.  Units are numbered in
+    the order they are read, so that grouping by number first finds its rows in order."""
     n = F.length("unit")
-    subs = F.explode(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), n - shortest),
-                lambda s: F.transform(F.sequence(F.lit(shortest), F.least(F.lit(longest), n - s)), lambda w: F.struct(s.alias("s"), w.alias("w"), F.substring(F.col("unit"), s + 1, w).alias("sub"))),
-            )
-        )
-    )
-    e = units.where(n >= shortest).select("bucket", "unit", subs.alias("x")).select("bucket", "unit", F.col("x.s").alias("s"), F.col("x.w").alias("w"), F.col("x.sub").alias("piece"))
-    return e.join(F.broadcast(pieces), "piece")
-
-
-def _packed(path):
-    """Start, length and id of each edge in one number, in order of start."""
-    return F.array_sort(F.transform(path, lambda x: _shl(x["s"].cast("long"), F.lit(26)) + _shl(x["w"].cast("long"), F.lit(20)) + x["id"]))
+    # numbered in a step of its own: beside explode, rows would be numbered after it
+    numbered = units.where(n >= shortest).select(F.monotonically_increasing_id().alias("unit_no"), "bucket", "unit")
+    starts = numbered.select("*", F.explode(F.sequence(F.lit(0), n - shortest)).alias("s"))
+    e = starts.select("*", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), n - F.col("s")))).alias("w"))
+    return e.select("*", F.substring(F.col("unit"), F.col("s") + 1, F.col("w")).alias("piece")).join(F.broadcast(pieces), "piece")
 
 
 def _shl(value, by):
     return F.call_function("shiftleft", value, by)
 
 
+def _shr(value, by):
+    return F.call_function("shiftright", value, by)
+
+
 def fold_merges(edges: DataFrame) -> DataFrame:
-    """(bucket, unit, path): the multi-character pieces of the BPE encoding, from the edges."""
-    one = F.lit(1).cast("long")
-    bits = lambda s, w: _shl(one, F.col(s)).bitwiseOR(_shl(one, F.col(s) + F.col(w)))
-    inside = (_shl(one, F.col("s") + F.col("w")) - _shl(one, F.col("s") + 1)).alias("inside")
-    g = edges.groupBy("bucket", "unit").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "s", "w", "id", bits("s", "w").alias("ends"), inside))).alias("e"))
+    """(bucket, unit, path): the multi-character pieces of the BPE encoding, from the edges.
+
+    An edge is one number: rank from bit 33, start from bit 27, width from bit 21, id from bit 1, and bit 0 of `merge_codes`.  Edges are tried once in order of
+    rank.  That is the rule itself unless a merge makes an edge of an earlier rank ready, which is looked for after merges that can; such a
+    unit is folded again, the first edge that is ready at each step."""
+    one, two = F.lit(1).cast("long"), F.lit(2).cast("long")
+    s = lambda x: _shr(x, F.lit(27)).bitwiseAND(F.lit(63)).cast("int")
+    w = lambda x: _shr(x, F.lit(21)).bitwiseAND(F.lit(63)).cast("int")
+    here = lambda mask, x: _shr(mask, s(x)).bitwiseAND(_shl(two, w(x)) - 1)  # noqa: E731  boundaries from the edge's start to its end
+    ready = lambda mask, x: (F.bit_count(here(mask, x)) == 3) & (here(mask, x).bitwiseAND(_shl(one, w(x)) + 1) == _shl(one, w(x)) + 1)
+    merged = lambda mask, x: mask.bitwiseAND(F.bitwise_not(_shl(_shl(one, w(x)) - 2, s(x))))
+    packed = F.col("code") + _shl(F.col("s").cast("long"), F.lit(27)) + _shl(F.col("w").cast("long"), F.lit(21))
+    g = edges.groupBy("unit_no", "bucket", "unit").agg(F.sort_array(F.collect_list(packed)).alias("e"))
+    n = F.length("unit")
+    every = _shl(one, n + 1) - 1
+    none = F.lit(0).cast("long")
+
+    def once(mask, x):
+        """The boundaries after edge x; none of them from where an earlier edge would have to be next."""
+        checked = F.get(F.transform(F.array(merged(mask, x)), lambda m: F.when(F.exists("e", lambda y: (y < x) & ready(m, y)), none).otherwise(m)), 0)
+        return F.when(ready(mask, x), F.when(x.bitwiseAND(one) == 0, merged(mask, x)).otherwise(checked)).otherwise(mask)
 
     def step(mask, _):
-        ready = F.filter("e", lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inside"])) == 1))
-        return F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(ready, 0)["inside"])), mask)
+        return F.coalesce(F.get(F.transform(F.filter("e", lambda x: ready(mask, x)), lambda x: merged(mask, x)), 0), mask)
 
-    n = F.length("unit")
-    mask = F.aggregate(F.sequence(F.lit(1), n - 1), _shl(one, n + 1) - 1, step)
-    m = g.withColumn("mask", mask)
-    path = F.filter("e", lambda x: (F.col("mask").bitwiseAND(x["ends"]) == x["ends"]) & (F.col("mask").bitwiseAND(x["inside"]) == 0))
-    return m.select("bucket", "unit", _packed(path).alias("path"))
+    m = g.withColumn("once", F.aggregate("e", every, once))
+    m = m.withColumn("mask", F.when(F.col("once") != 0, F.col("once")).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), every, step)))
+    path = F.filter("e", lambda x: here(F.col("mask"), x) == _shl(one, w(x)) + 1)
+    return m.select("bucket", "unit", F.sort_array(F.transform(path, lambda x: _shr(x, F.lit(1)).bitwiseAND(F.lit((1 << 32) - 1)))).alias("path"))
 
 
 def fold_viterbi(edges: DataFrame, unknown: float) -> DataFrame:
     """(bucket, unit, path): the best path by sum of scores.  A position without an edge is passed by one unknown character."""
-    g = edges.groupBy("bucket", "unit").agg(F.sort_array(F.collect_list(F.struct((F.col("s") + F.col("w")).alias("t"), "s", "w", "id", "score"))).alias("e"))
+    g = edges.groupBy("unit_no", "bucket", "unit").agg(F.sort_array(F.collect_list(F.struct((F.col("s") + F.col("w")).alias("t"), "s", "w", "id", "score"))).alias("e"))
     n = F.length("unit")
     cell = "struct<score:double,s:int,id:int>"
     start = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == 0, 0.0).cast("double").alias("score"), F.lit(-1).alias("s"), F.lit(-1).alias("id")).cast(cell))
@@ -243,7 +295,8 @@ def fold_viterbi(edges: DataFrame, unknown: float) -> DataFrame:
             F.struct(F.get("c", a["at"])["s"].alias("at"), F.array_prepend(a["path"], F.struct(F.get("c", a["at"])["s"].alias("s"), (a["at"] - F.get("c", a["at"])["s"]).alias("w"), F.get("c", a["at"])["id"].alias("id"))).alias("path"))
         ),
     )
-    return cells.select("bucket", "unit", _packed(F.filter(back["path"], lambda x: x["id"] >= 0)).alias("path"))
+    path = F.transform(F.filter(back["path"], lambda x: x["id"] >= 0), lambda x: _shl(x["s"].cast("long"), F.lit(26)) + _shl(x["w"].cast("long"), F.lit(20)) + x["id"])
+    return cells.select("bucket", "unit", F.sort_array(path).alias("path"))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -270,6 +323,8 @@ def _unit_lists(rows: DataFrame, model: Model, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             by: dict[int, list[str]] = {}
             for u in seen:
+                if len(u) == 1:
+                    continue
                 by.setdefault(zlib.crc32(u.encode("utf-8", "surrogatepass")) % buckets, []).append(u)
             for k, us in by.items():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int64()), pa.array([model.sep.join(sorted(us))], pa.string())], ["bucket", "block", "units"])
@@ -277,14 +332,13 @@ def _unit_lists(rows: DataFrame, model: Model, buckets: int) -> DataFrame:
         for b in batches:
             block = _block(b.column(2).to_numpy(), b.column(3).to_numpy())
             for s in range(0, b.num_rows, 256):
-                for k, t in zip(block[s : s + 256].tolist(), b.column(1).slice(s, 256).to_pylist()):
+                texts = [t or "" for t in b.column(1).slice(s, 256).to_pylist()]
+                for k, us in zip(block[s : s + 256].tolist(), model.splits(texts)):
                     if k != now:
                         if now is not None:
                             yield from flush()
                         seen, now = set(), k
-                    if t:
-                        seen.update(model.units(t))
-                seen = {u for u in seen if len(u) > 1}
+                    seen.update(us)
         if now is not None:
             yield from flush()
 
@@ -304,7 +358,8 @@ def dictionary(spark: SparkSession, rows: DataFrame, model: Model) -> str:
 
     def pack(left: pa.Table, right: pa.Table) -> pa.Table:
         path = dict(zip(left["unit"].to_pylist(), left["path"].to_pylist()))
-        one = [np.array([i], model.kind).tobytes() for i in range(len(model.pieces))] if len(path) > 1000 else None
+        width = np.dtype(model.kind).itemsize
+        ids = np.arange(len(model.pieces), dtype=model.kind).tobytes()
         code: dict[str, bytes] = {}
 
         def encode(u: str) -> bytes:
@@ -315,12 +370,12 @@ def dictionary(spark: SparkSession, rows: DataFrame, model: Model) -> str:
                 b = x >> 26 & 63
                 if b > at:
                     out += [model.char(c) for c in u[at:b]]
-                out.append(one[x & 0xFFFFF] if one else np.array([x & 0xFFFFF], model.kind).tobytes())
+                i = (x & 0xFFFFF) * width
+                out.append(ids[i : i + width])
                 at = b + (x >> 20 & 63)
             return b"".join(out + [model.char(c) for c in u[at:]])
 
         blocks, units, sizes, codes = [], [], [], []
-        width = np.dtype(model.kind).itemsize
         for block, text in zip(right["block"].to_pylist(), right["units"].to_pylist()):
             got = []
             for u in text.split(model.sep):
@@ -390,9 +445,10 @@ def _apply(rows: DataFrame, path: str, model: Model, decoded: bool) -> DataFrame
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
                 chunks, offsets, null, back = [], [0], [], []
-                for k, t in zip(block[s : s + 256], part.column(1).to_pylist()):
+                texts = part.column(1).to_pylist()
+                for k, t, us in zip(block[s : s + 256], texts, model.splits([t or "" for t in texts])):
                     null.append(t is None)
-                    got = np.frombuffer(b"".join(map(look(k).__getitem__, model.units(t))), model.kind) if t else np.zeros(0, model.kind)
+                    got = np.frombuffer(b"".join(map(look(k).__getitem__, us)), model.kind) if t else np.zeros(0, model.kind)
                     chunks.append(got)
                     offsets.append(offsets[-1] + len(got))
                     if decoded:

@@ -355,6 +355,28 @@ def test_sentencepiece_equals_the_library(spark, docs, empty):
     assert sorted(str(r["decoded"]) for r in again.collect()) == sorted(str(t) for _, t in rows)
 
 
+def test_merges_in_one_pass_equal_merges_by_a_heap(spark):
+    """Also where a merge makes an edge of an earlier rank ready: bc (rank 1) makes abc (rank 0) ready before cd (rank 2)."""
+    pieces = ["<unk>", "abc", "bc", "cd", "a", "b", "c", "d"]
+    m = sentencepiece_lattice.Model(pieces, [0.0, -1.0, -2.0, -3.0, -9.0, -9.0, -9.0, -9.0], [2] + [1] * 7, True, False, 0)
+    rng = random.Random(4)
+    texts = ["abcd", "abc", "bcd", "cdabc", *("".join(rng.choices("abcd", k=rng.randint(2, 40))) for _ in range(60))]
+    more = sentencepiece_lattice.Model(["<unk>", *(p := sorted({"".join(rng.choices("abc", k=rng.randint(2, 4))) for _ in range(30)})), "a", "b", "c"], [0.0, *(-float(rng.randint(1, 12)) for _ in p), -99.0, -99.0, -99.0], [2] + [1] * (len(p) + 3), True, False, 0)
+    assert any(c & 1 for c in sentencepiece_lattice.merge_codes(m).values())
+    for own in (m, more):
+        units = spark.createDataFrame([(0, t) for t in set(texts)], "bucket int, unit string").repartition(2, "bucket")
+        got = sentencepiece_lattice.fold_merges(sentencepiece_lattice.lattice(units, sentencepiece_lattice.piece_table(spark, own), own.longest, 2)).collect()
+        found = {r["unit"]: [(x >> 26 & 63, x >> 20 & 63, x & 0xFFFFF) for x in r["path"]] for r in got}
+        assert len(found) == len(got)
+        for u in set(texts):
+            at, want = 0, []
+            for i in np.frombuffer(own.merge(u), own.kind).tolist():
+                n = len(own.pieces[i]) if i else 1
+                want += [(at, n, i)] if n > 1 else []
+                at += n
+            assert found.get(u, []) == want, u
+
+
 def test_unigram_viterbi_equals_the_library(spark, tmp_path):
     spm = pytest.importorskip("sentencepiece")
     from sentencepiece import sentencepiece_model_pb2 as pb

@@ -229,6 +229,12 @@ def test_topk_blocks_equal_single_queries():
             assert order(got) == order(shard.search(dict.fromkeys(t.tolist(), 1), k))
 
 
+def test_bpe_texts_cut_together_equal_texts_cut_alone():
+    m = sentencepiece_lattice.load()
+    for texts in (TEXTS, [], [""], ["", ""], ["a\uffffb", "c"], ["a\ufffeb", "", "c"], ["\n", "x\n\ny"], ["a b" * 40_000, "z", "b c" * 40_000, ""]):
+        assert m.splits(texts) == [m.units(t) for t in texts]
+
+
 def test_topk_short_query_scores_few_documents_exactly(monkeypatch):
     rng = np.random.default_rng(8)
     counts = [rng.choice(60, rng.integers(10, 50), replace=False) for _ in range(3000)]
