@@ -308,3 +308,21 @@ def test_sentencepiece_units_and_codes_of_single_characters():
     assert all(codes[c] == m.char(c) for c in "a▁Ω😀\n")
     with pytest.raises(KeyError):
         codes["unknown unit"]
+
+
+def test_few_long_sets_among_many_short_ones_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    sets = [np.arange(5 * k, 5 * k + 3, dtype=np.uint32) for k in range(3000)] + [np.arange(20_000, dtype=np.uint32) * 3, np.arange(20_000, dtype=np.uint32) * 3 + 3]
+    n = len(sets)
+    zero = pa.array(np.zeros(n, np.int64))
+    cols = {"u": pa.array(np.arange(n)), "w": pa.array(np.ones(n, np.int64)), "own": zero, "x": zero, "y": zero, "sig": pa.array([jaccard_join.signature(s).tobytes() for s in sets], pa.binary())}
+    t = pa.table(cols | {"lo": pa.array([s.tobytes() for s in sets], pa.binary()), "hi": pa.array([bytes(2 * len(s)) for s in sets], pa.binary())})
+    tracemalloc.start()
+    got = jaccard_join._within(t, 0.6).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [{"a": 3000, "b": None, "n": 1}, {"a": 3001, "b": None, "n": 1}, {"a": 3000, "b": 3001, "n": None}]
+    assert peak < 15e6  # a bitmap of 8 kB for each short set would be 25 MB
