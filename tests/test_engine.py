@@ -42,6 +42,8 @@ def test_text_functions(spark):
     assert one(spark, "http://a.b/c-d", T.encode_field) == "http_a_b_c_d"
     assert one(spark, "http://a/1.2.3/x", T.remove_version) == "http://a/x"
     assert one(spark, "a:b c", T.subject_text) == "b c"
+    shown = spark.createDataFrame([(n,) for n in (999, 1999, 999_999_999, 1_000_000_000, 8_500_000_000)], "n long").select(T.short_number(F.col("n"))).collect()
+    assert [r[0] for r in shown] == ["999", "~1 thousand", "~999 million", "~1000 million", "~8500 million"]
 
 
 LINES = [
