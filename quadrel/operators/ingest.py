@@ -21,10 +21,15 @@ class Ingested:
     counters: DataFrame
 
 
+def _once(df: DataFrame, name: str) -> DataFrame:
+    """df whose column `name` is computed once for each row: a condition on it isn't moved below, where its patterns would run for every mention."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(F.struct(name))).alias("_x")).select(*[c for c in df.columns if c != name], F.col(f"_x.{name}").alias(name))
+
+
 def ingest(lines: DataFrame, kept_by: list | None = None, contexts: bool = True) -> Ingested:
     """lines: (value).  A line is rejected for the first check that it fails; then the filters in `kept_by` see its quad in turn."""
-    nodes = parse_nodes(lines.where("value is not null and length(trim(value)) > 0"))
-    judged = nodes.withColumn("reason", filters.reject_reason(nodes))
+    nodes = _once(parse_nodes(lines.where("value is not null and length(trim(value)) > 0")), "nodes")
+    judged = _once(nodes.withColumn("reason", filters.reject_reason(nodes)), "reason")
     good = as_quads(judged.where("reason is null").drop("reason"), contexts)
     kept = filters.apply_filters(good, kept_by or [])
     rejects = judged.where("reason is not null").select("value", "reason")

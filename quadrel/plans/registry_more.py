@@ -90,7 +90,7 @@ def _(spark, d):
 
 def _stored(df, name, compression="none"):
     path = shared_path(df.sparkSession, name)
-    files.write_lines(df, path, compression=compression)
+    files.store_lines(df, path, compression=compression)
     return path
 
 

@@ -104,9 +104,14 @@ def merge_sorted(parts: list[DataFrame], col: str = "line") -> DataFrame:
     return checked.orderBy(col)
 
 
+def store_lines(df: DataFrame, path: str, col: str = "line", compression: str = "none") -> None:
+    """Writes lines as text."""
+    df.select(F.col(col).alias("value")).write.option("compression", compression).text(path)
+
+
 def write_lines(df: DataFrame, path: str, col: str = "line", compression: str = "none") -> int:
     """Writes lines as text and returns how many there are."""
-    df.select(F.col(col).alias("value")).write.option("compression", compression).text(path)
+    store_lines(df, path, col, compression)
     return df.sparkSession.read.text(path).count()
 
 

@@ -80,6 +80,13 @@ def n3_literal(text: Column) -> Column:
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 
+def spread(df: DataFrame, key: str, part_rows: int = 50_000) -> DataFrame:
+    """df in parts of about part_rows rows if it comes in fewer: a column store packs a million short rows into a few megabytes, which one task
+    would read and expand.  Rows of a stored table are counted from its footers."""
+    n = -(-df.count() // part_rows)
+    return df.repartition(n, key) if n > max(1, df.rdd.getNumPartitions()) else df
+
+
 def direct_map(df: DataFrame, t: Table) -> DataFrame:
     """One quad for each literal, each link and the type of every row; null values have none."""
     me = F.concat(F.lit(f"{BASE}{t.name}/"), F.col(t.key).cast("string"))
@@ -87,6 +94,7 @@ def direct_map(df: DataFrame, t: Table) -> DataFrame:
     made = [F.struct(F.lit(f"{BASE}{t.name}#{x}").alias("p"), F.lit("LITERAL").alias("o_type"), F.col(x).cast("string").alias("o")) for x in t.literals]
     made += [F.struct(F.lit(f"{BASE}{t.name}#{x}").alias("p"), F.lit("RESOURCE").alias("o_type"), F.concat(F.lit(f"{BASE}{to}/"), F.col(x).cast("string")).alias("o")) for x, to in t.links]
     made.append(F.struct(F.lit(RDF_TYPE).alias("p"), F.lit("RESOURCE").alias("o_type"), F.lit(BASE + t.kind).alias("o")))
+    df = spread(df.select(*dict.fromkeys([t.key, *t.literals, *[x for x, _ in t.links]])), t.key)
     q = df.where(F.col(t.key).isNotNull()).select(me.alias("s"), F.explode(F.array(*made)).alias("x")).select("s", "x.*").where(F.col("o").isNotNull())
     n3 = F.when(F.col("o_type") == "LITERAL", n3_literal(F.col("o"))).otherwise(F.concat(F.lit("<"), "o", F.lit(">")))
     return q.withColumn("o_n3", n3).select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quadrel.functions import analyze as T
 from quadrel.functions.porter import stem
 from quadrel.operators import algebra as A
-from quadrel.operators import filters, layouts, model, ontology, rank, results
+from quadrel.operators import filters, ingest, layouts, model, ontology, rank, results
 from quadrel.plans import query as Q
 from quadrel.plans.index import Config, Index, Ontology, QueryLog
 from quadrel.sources import files, quads
@@ -264,3 +264,19 @@ def test_oracle(spark, name):
     at = [list(x.columns).index(c) for c in cols]
     key = lambda r: tuple(map(str, r))
     assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=key) == sorted((tuple(r[i] for i in at) for r in x.fetchall()), key=key)
+
+
+def test_packed_tables_are_spread(spark):
+    t = quads.Table("n", "id", ("id",), (), "N")
+    packed = spark.range(0, 120_000, 1, 1)
+    q = quads.direct_map(packed, t)
+    assert q.rdd.getNumPartitions() == 3 and q.count() == 240_000  # one task would expand all rows
+    assert quads.direct_map(packed.limit(10), t).rdd.getNumPartitions() == 1
+
+
+def test_lines_are_parsed_once(spark):
+    got = ingest.ingest(spark.createDataFrame([(x,) for x in LINES], "value string"))
+    for df in (got.quads, got.rejects):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 1
+    assert got.quads.count() == 4 and got.rejects.count() == 5
