@@ -163,6 +163,7 @@ def blocked_column(text: Column, phrases: list[str]) -> Column:
     return hit
 
 
-def check_range(start: int, size: int) -> None:
-    if start < 0 or not 0 <= size <= 10_000:
+def check_range(start: int, size: int | None) -> None:
+    """A page has at most 10,000 results; no size stands for all of them."""
+    if start < 0 or (size is not None and not 0 <= size <= 10_000):
         raise ValueError(f"bad range: start {start}, size {size}")

@@ -88,9 +88,12 @@ def score(tokens: DataFrame, sizes: DataFrame, term_stats: DataFrame, terms: lis
     return out
 
 
-def top(scored: DataFrame, n: int, start: int = 0) -> DataFrame:
-    """The page of n from start; equal scores in order of id."""
-    return scored.orderBy(F.desc("score"), "doc_id").offset(start).limit(n)
+def top(scored: DataFrame, n: int | None, start: int = 0) -> DataFrame:
+    """The page of n, or all, from start; equal scores in order of id."""
+    if n is None and not start:
+        return scored
+    page = scored.orderBy(F.desc("score"), "doc_id").offset(start)
+    return page if n is None else page.limit(n)
 
 
 def host_priors(docs: DataFrame, rules: DataFrame, host_col: str = "host") -> DataFrame:

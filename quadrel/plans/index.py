@@ -15,7 +15,7 @@ from ..functions.analyze import STOP_WORDS, encode_field, local_name, short_name
 from ..operators import filters, layouts, model, ontology, rank, results
 from ..sources.quads import RDF_TYPE
 from . import query as Q
-from .store import delete, folders, shared_path
+from .store import delete, folders, shared_path, written
 
 TABLES = ("resources", "docs", "tokens", "term_stats", "doc_sizes", "alignment", "fields")
 
@@ -197,8 +197,8 @@ class Index:
         s = self.config.scorer(self.t["tokens"], self.t["doc_sizes"], self.t["term_stats"], list(dict.fromkeys(x for x, _ in leaves)), fields, self.n, self.avgdl, self.config.weights, found, self.priors)
         return found.join(s, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
-    def search(self, text: str, start: int = 0, size: int = 10, mode: str = "free", deref: bool = True, limit: int = results.LIMIT) -> dict:
-        """A page of results: query, parsed query, number of results, times, and `items`, a DataFrame."""
+    def search(self, text: str, start: int = 0, size: int | None = 10, mode: str = "free", deref: bool = True, limit: int = results.LIMIT) -> dict:
+        """A page of results, or with size None all of them from start: query, parsed query, number of results, times, and `items`, a DataFrame."""
         filters.check_range(start, size)
         began = time.time()
         m = re.fullmatch(r"\s*doc:\s*(\S+)\s*", text)
@@ -209,7 +209,7 @@ class Index:
             total, node, limit = page.count(), None, None
         else:
             node = self.parse(text, mode)
-            ranked = self.ranked(node)
+            ranked = self.ranked(node) if size is not None else written(self.ranked(node), "ranked")
             total, page = ranked.count(), rank.top(ranked, size, start)
         searched = time.time()
         items = results.items(page, self.t["docs"], self.t["fields"], limit, deref).orderBy(F.desc("score"), "subject_id")

@@ -310,7 +310,7 @@ def _(spark, d):
     ix = _index(spark, d)
     ref = ix.ids_of([f"{BASE}nation/3"]).get(f"{BASE}nation/3", -1)
     field = next(short for short, full in ix.aliases.items() if full.endswith("customer_c_nationkey"))
-    items = ix.search(f"building {field}:@{ref}", size=10_000)["items"]
+    items = ix.search(f"building {field}:@{ref}", size=None)["items"]
     return items.select("subject_id", "subject", F.size(F.split("subject", "/")).alias("depth"))
 
 
@@ -335,7 +335,7 @@ def _(spark, d):
 @register("index_own_scorer", f"WITH {_sql_quads()} SELECT DISTINCT s AS subject, 7.0::DOUBLE AS score FROM quads WHERE o = 'BUILDING'")
 def _(spark, d):
     ix = _index(spark, d, scorer=lambda tokens, *rest: rest[-2].select("doc_id", F.lit(7.0).alias("score")))
-    return ix.search("building", size=10_000)["items"].select("subject", "score")
+    return ix.search("building", size=None)["items"].select("subject", "score")
 
 
 @register("index_statistics_predicates", f"WITH {_sql_quads()} SELECT p AS name, count(DISTINCT s) AS count FROM quads GROUP BY 1")

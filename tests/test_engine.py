@@ -219,6 +219,15 @@ def test_ontology(spark):
     assert ontology.closure(cyclic).count() == 2
 
 
+def test_search_gives_all_results(spark):
+    me = F.concat(F.lit("http://d/"), F.col("id").cast("string"))
+    q = spark.range(10_050).select(F.lit("RESOURCE").alias("s_type"), me.alias("s"), F.lit("http://d/p").alias("p"), F.lit("LITERAL").alias("o_type"), F.lit("good").alias("o"), F.lit('"good"').alias("o_n3"), F.lit("RESOURCE").alias("c_type"), F.lit("http://d/c").alias("c"), F.lit('<http://d/p> "good" <http://d/c> .').alias("relation_n3"))
+    ix = Index.built(q)
+    whole = ix.search("good", size=None)
+    assert whole["num_results"] == whole["items"].count() == 10_050
+    assert ix.search("good", start=10_000, size=None)["items"].count() == 50
+
+
 def test_weights_and_log():
     w = rank.field_weights(["a", "b"], rank.Weights(field_class={"a": rank.IMPORTANT}))
     assert sum(w.values()) == pytest.approx(2) and w["a"] > w["b"]
