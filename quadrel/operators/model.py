@@ -13,24 +13,22 @@ MAX_ELEMENT, MAX_RELATION = 5_000, 10_000
 
 
 def role_records(quads: DataFrame, contexts: bool = True) -> DataFrame:
-    """(resource, role): what each quad says of the resources in it; the role of a subject is the relation."""
-    n3 = F.col("relation_n3")
+    """(resource, role): what each quad says of the resources in it, but for its subject."""
     roles = [
         F.struct(F.col("p").alias("resource"), F.lit("PREDICATE").alias("role")),
         F.when(F.col("o_type").isin("RESOURCE", "BNODE"), F.struct(F.col("o").alias("resource"), F.lit("OBJECT").alias("role"))),
-        F.when(F.length(n3) <= MAX_RELATION, F.struct(F.col("s").alias("resource"), n3.alias("role"))),
     ]
     if contexts:
         roles.append(F.when(F.col("c_type") == "RESOURCE", F.struct(F.col("c").alias("resource"), F.lit("CONTEXT").alias("role"))))
-    return quads.select(F.explode(F.filter(F.array(*roles), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    return quads.select(F.explode(F.array(*roles)).alias("x")).where("x is not null").select("x.*")
 
 
 def role_counts(quads: DataFrame, extra: DataFrame | None = None, contexts: bool = True) -> DataFrame:
     """(text, n_relations, n_predicate, n_object, n_context) of every resource; extra: (iri) of further ones, such as ontology classes.
     Relations are counted without repeats."""
-    r = role_records(quads, contexts)
-    named = r.where("role in ('PREDICATE', 'OBJECT', 'CONTEXT')").groupBy("resource", "role").agg(F.count(F.lit(1)).alias("n"))
-    related = r.where("role not in ('PREDICATE', 'OBJECT', 'CONTEXT')").distinct().groupBy("resource").agg(F.count(F.lit(1)).alias("n")).withColumn("role", F.lit("RELATION"))
+    named = role_records(quads, contexts).groupBy("resource", "role").agg(F.count(F.lit(1)).alias("n"))
+    relations_ = quads.where(F.length("relation_n3") <= MAX_RELATION).select(F.col("s").alias("resource"), "relation_n3").distinct()
+    related = relations_.groupBy("resource").agg(F.count(F.lit(1)).alias("n")).withColumn("role", F.lit("RELATION"))
     rows = named.unionByName(related)
     if extra is not None:
         rows = rows.unionByName(extra.select(F.col("iri").alias("resource"), F.lit("EXTRA").alias("role"), F.lit(0).cast("long").alias("n")).distinct())

@@ -46,9 +46,10 @@ def items(page: DataFrame, docs: DataFrame, fields: DataFrame | None = None, lim
     rel = F.transform("relations", lambda r: F.struct(r["predicate"].alias("predicate"), r["object"].alias("shown"), r["object"].alias("object"), r["o_type"].alias("o_type"), r["context"].alias("context"))) if limit is None else truncated(F.col("relations"), limit)
     d = d.select(F.col("id").alias("subject_id"), "subject", "score", label(F.col("relations")).alias("label"), rel.alias("r"))
     x = d.select("*", F.posexplode_outer("r").alias("k", "x")).drop("r")
-    link = F.when(F.col("x.o_type").isin("RESOURCE", "BNODE"), F.col("x.object"))
-    x = x.withColumn("_link", link)
-    to = labels(docs).select(F.col("subject").alias("_link"), F.col("subject_id").alias("link_id"), F.col("label").alias("link_label"))
+    link = F.when(F.col("x.o_type").isin("RESOURCE", "BNODE"), F.concat(F.lit("l"), F.col("x.object")))
+    # rows without a link, most of them, meet nothing; a key of their own each spreads them
+    x = x.withColumn("_link", F.coalesce(link, F.col("subject_id").cast("string")))
+    to = labels(docs).select(F.concat(F.lit("l"), "subject").alias("_link"), F.col("subject_id").alias("link_id"), F.col("label").alias("link_label"))
     x = x.join(to, "_link", "left")
     indexed = F.lit(False)
     if fields is not None:

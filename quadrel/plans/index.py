@@ -47,14 +47,14 @@ def build(quads: DataFrame, config: Config = Config(), onto: Ontology | None = N
     """The tables of an index.  selected: predicates with a field of their own, instead of the most used."""
     extra = onto.classes.select("iri") if onto else None
     resources = model.dictionary(quads, extra, config.contexts)
-    rels = model.relations(quads)
+    rels = written(model.relations(quads), "rels")  # read by documents and by tokens
     docs = model.documents(rels, resources)
     spark = quads.sparkSession
     top = model.top_predicates(resources, config.top_predicates) if selected is None else spark.createDataFrame([(p, 0) for p in selected], "predicate string, uses long")
     fields = top.where(~F.col("predicate").isin(*filters.BLACKLIST)).select("predicate", encode_field(F.col("predicate")).alias("field"), "uses")
-    named = layouts.with_ids(rels, resources)
     up = ontology.ancestor_ids(ontology.closure(onto.subclass), resources) if onto else None
     stop = config.term_steps or config.stop
+    named = written(layouts.with_ids(rels.drop("relation_n3"), resources).withColumn("t", layouts.object_terms(stop)), "named")
     h = layouts.horizontal_tokens(named, stop, config.contexts).withColumn("layout", F.lit("horizontal"))
     v = layouts.vertical_tokens(named, fields, up, stop).withColumn("layout", F.lit("vertical"))
     tokens = h.unionByName(v) if len(config.layouts) == 2 else h if config.layouts == ("horizontal",) else v
@@ -63,15 +63,20 @@ def build(quads: DataFrame, config: Config = Config(), onto: Ontology | None = N
     return {"resources": resources, "docs": docs, "tokens": tokens, "fields": fields, "term_stats": layouts.term_stats(tokens), "doc_sizes": layouts.doc_sizes(h if not config.stem else tokens.where("layout = 'horizontal'")), "alignment": layouts.alignment(tokens.where("layout = 'vertical'"))}
 
 
+def _ranged(df: DataFrame, by: list[str], within: list[str]) -> DataFrame:
+    """df in sorted ranges.  It is stored first: to find where ranges begin and to fill them are two passes, and what made df would run in both."""
+    return written(df, "whole").repartitionByRange(*by).sortWithinPartitions(*within)
+
+
 def save(tables: dict[str, DataFrame], path: str, priors: DataFrame | None = None) -> None:
     """Writes the tables so that reads prune: documents and resources in ranges of id, tokens by layout and in ranges of term
     and document, so that a frequent term is spread.  What
     follows from tokens is made from the stored table."""
     spark = next(iter(tables.values())).sparkSession
     tables["resources"].repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/resources")
-    tables["docs"].repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/docs")
+    _ranged(tables["docs"], ["id"], ["id"]).write.parquet(f"{path}/docs")
     tables["fields"].write.parquet(f"{path}/fields")
-    tables["tokens"].repartitionByRange("layout", "term", "doc_id").sortWithinPartitions("layout", "term", "field", "doc_id", "pos").write.partitionBy("layout").parquet(f"{path}/tokens")
+    _ranged(tables["tokens"], ["layout", "term", "doc_id"], ["layout", "term", "field", "doc_id", "pos"]).write.partitionBy("layout").parquet(f"{path}/tokens")
     if priors is not None:
         priors.select("doc_id", "category").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/priors")
     t = spark.read.parquet(f"{path}/tokens")

@@ -289,3 +289,20 @@ def test_lines_are_parsed_once(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract_all(") == 1
     assert got.quads.count() == 4 and got.rejects.count() == 5
+
+
+def test_ranges_are_cut_from_a_stored_table(spark):
+    from quadrel.plans.index import _ranged
+
+    made = spark.range(30).select(F.explode(F.array("id", F.col("id") + 1)).alias("x"))
+    df = _ranged(made, ["x"], ["x"])
+    assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()  # else both passes would make the rows
+    assert sorted(r["x"] for r in df.collect()) == sorted([*range(30), *range(1, 31)])
+
+
+def test_rows_without_a_link_are_spread(spark):
+    rel = "array<struct<ord:int,predicate:string,o_type:string,object:string,context:string,n3:string>>"
+    docs = spark.createDataFrame([(k, k - 1, f"s{k}", [(0, "name", "LITERAL", f"n{k}", None, "x"), (1, "to", "RESOURCE", "s1", None, "y")]) for k in range(40)], f"id long, previous_id long, subject string, relations {rel}")
+    items = results.items(docs.select(F.col("id").alias("doc_id"), F.lit(1.0).alias("score")), docs)
+    assert {(r["subject_id"], x["object"], x["subject_id_of_object"], x["label"]) for r in items.collect() for x in r["relations"]} == {(k, f"n{k}", None, None) for k in range(40)} | {(k, "s1", 1, "n1") for k in range(40)}
+    assert "coalesce(" in items._jdf.queryExecution().optimizedPlan().toString()  # the join's key is never null
