@@ -306,3 +306,12 @@ def test_rows_without_a_link_are_spread(spark):
     items = results.items(docs.select(F.col("id").alias("doc_id"), F.lit(1.0).alias("score")), docs)
     assert {(r["subject_id"], x["object"], x["subject_id_of_object"], x["label"]) for r in items.collect() for x in r["relations"]} == {(k, f"n{k}", None, None) for k in range(40)} | {(k, "s1", 1, "n1") for k in range(40)}
     assert "coalesce(" in items._jdf.queryExecution().optimizedPlan().toString()  # the join's key is never null
+
+
+def test_phrases_meet_in_one_shuffle(spark):
+    t = spark.createDataFrame([("object", 1, k, f"w{k % 70}") for k in range(75)] + [("object", 2, 2 * k, f"w{k}") for k in range(70)], "field string, doc_id long, pos int, term string")
+    short = A.consecutive([A.term(t, "w3"), A.term(t, "w4")])
+    assert sorted((r["doc_id"], r["l"], r["r"]) for r in short.collect()) == [(1, 3, 4), (1, 73, 74)]
+    assert short._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2  # partial and final
+    long = A.consecutive([A.term(t, f"w{k}") for k in range(70)])
+    assert [(r["doc_id"], r["l"], r["r"]) for r in long.collect()] == [(1, 0, 69)]
